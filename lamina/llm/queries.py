@@ -86,7 +86,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 OP3_SQL = f"""
 WITH a AS (
   SELECT doc_id, right(list_reduce(list_transform(string_split(substr(sha256(CAST(doc_id AS VARCHAR)), 1, 15), ''),
-    c -> lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), (x, y) -> x || y), {sharding.MAX_BITS}) AS bits,
+    lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), lambda x, y: x || y), {sharding.MAX_BITS}) AS bits,
     CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes FROM documents
 ), l AS (
   SELECT d, substr(bits, 1, d) AS prefix, sum(bytes) AS bytes FROM (SELECT *, unnest(range(0, {sharding.MAX_BITS + 1})) AS d FROM a) GROUP BY ALL
@@ -147,7 +147,7 @@ FROM d LEFT JOIN j USING (doc_id)
 
 OP10_SQL = f"""
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-u AS (SELECT * FROM v WHERE v IS NOT NULL AND len(list_filter(v, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, x -> x <> 0)) > 0),
+u AS (SELECT * FROM v WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
 e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= {embedding_dedup.COSINE}),
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 c AS (SELECT a, min(b) AS b FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
