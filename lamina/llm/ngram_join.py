@@ -40,7 +40,7 @@ from lamina.llm.common import components, remove_table, stored
 
 WORDS = 5
 PERCENT = 80
-GROUP = 64
+GROUP = 256
 KEYS = 3
 SLOTS = 1 << 22
 SLICE = 1 << 16
@@ -424,7 +424,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     remove_table(lead)
 
     # across groups
-    ranges = max(16, -(-shape * (100 - percent) // 100 // RANGE_TOKENS))
+    ranges = max(4, -(-shape * (100 - percent) // 100 // RANGE_TOKENS))
     opens = stored(within_bound(matrix(nodes, percent, ranges), percent), "opens")
     salts = opens.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).alias("salts"))
     asked = opens.join(salts.hint("merge"), "grp").select("grp", F.pmod(F.xxhash64("q"), F.col("salts")).alias("salt"), F.col("q").alias("doc_id"), F.lit(True).alias("query"))
