@@ -45,7 +45,7 @@ KEYS = 3
 SLOTS = 1 << 22
 SLICE = 1 << 16
 CACHE_WORDS = 500_000
-RANGE_TOKENS = 1_000_000
+RANGE_TOKENS = 2_000_000
 GROUP_TOKENS = 4_000_000
 QUERIES = 256
 BITMAP = 1 << 25
@@ -407,8 +407,8 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     # groups of similar classes, by each key
     keyed = lead.select("doc_id", "m", F.posexplode("keys").alias("j", "key"))
     sizes = keyed.groupBy("j", "key").agg(F.count("*").alias("c"), F.sum("m").alias("s")).where("c > 1")
-    sizes = sizes.select("j", "key", F.greatest(F.ceil(F.col("c") / GROUP), F.ceil(F.col("s") / GROUP_TOKENS)).alias("parts"))
-    grouped = keyed.join(sizes.hint("merge"), ["j", "key"]).select("doc_id", "j", F.xxhash64("j", "key", F.pmod(F.xxhash64("doc_id", "j"), F.col("parts"))).alias("grp"))
+    sizes = sizes.select("j", "key", F.greatest(F.ceil(F.col("c") / GROUP), F.ceil(F.col("s") / GROUP_TOKENS)).alias("parts"), "c")
+    grouped = keyed.join(sizes.hint("merge"), ["j", "key"]).select("doc_id", "j", F.xxhash64("j", "key", F.pmod(F.xxhash64("doc_id", "j"), F.col("parts"))).alias("grp"), "c")
     grouped = stored(grouped.distinct(), "groups")
     opened = grouped.join(grouped.groupBy("grp").count().where("count > 1").select("grp").hint("merge"), "grp", "left_semi")
     inside = sets_of(table, grouped).join(opened.hint("merge"), "doc_id").select("grp", "doc_id", "prints")
@@ -416,7 +416,8 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     pieces = stored(components(first), "pieces")
     piece_sizes = pieces.groupBy("component").agg(F.count("*").alias("piece_size"))
     pieces = pieces.join(piece_sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("piece"), "piece_size")
-    home = grouped.where("j = 0").select("doc_id", "grp")
+    # the largest of a class's groups is its row in the matrix, so that near copies with a rare key stand with the others
+    home = grouped.groupBy("doc_id").agg(F.max_by("grp", F.struct("c", "grp")).alias("grp"))
     nodes = lead.select("doc_id", "m", "lead").join(pieces.hint("merge"), "doc_id", "left").join(home.hint("merge"), "doc_id", "left").select(
         "doc_id", "m", F.coalesce("piece", "doc_id").alias("piece"), F.coalesce("piece_size", F.lit(1)).alias("piece_size"),
         F.coalesce("grp", F.xxhash64(F.lit("alone"), "doc_id")).alias("grp"), "lead")
@@ -424,7 +425,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     remove_table(lead)
 
     # across groups
-    ranges = max(4, -(-shape * (100 - percent) // 100 // RANGE_TOKENS))
+    ranges = max(1, -(-shape * (100 - percent) // 100 // RANGE_TOKENS))
     opens = stored(within_bound(matrix(nodes, percent, ranges), percent), "opens")
     salts = opens.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).alias("salts"))
     asked = opens.join(salts.hint("merge"), "grp").select("grp", F.pmod(F.xxhash64("q"), F.col("salts")).alias("salt"), F.col("q").alias("doc_id"), F.lit(True).alias("query"))
