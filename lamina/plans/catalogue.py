@@ -1,10 +1,426 @@
-"""Named queries over the driver's tables, each with the DuckDB statement it must equal."""
+"""Named queries over the driver's tables, each with the DuckDB statement it must equal.
+
+The tables hold no slide packages: a query shows the semantics of an operator on the tables there are.
+Packages themselves are read by lamina.sources.package, which tests cover.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lamina.functions import keys
+from lamina.operators import relational as R
+from lamina.operators import text as X
+from lamina.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if oracle:
+            ORACLE_SQL[fn.__name__] = oracle
+        return fn
+
+    return register
+
+
+def same(name: str, sql: str, duck: str | None = None) -> None:
+    """A query that is SQL itself; `{table}` stands for a table. duck: where DuckDB spells it otherwise."""
+    import re
+
+    def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", sql))
+
+    fn.__name__ = name
+    QUERIES[name] = fn
+    ORACLE_SQL[name] = re.sub(r"\{(\w+)\}", r"\1", duck or sql)
+
+
+# --- duplicates, digests, summaries -------------------------------------------------
+
+
+@query("""SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS keep, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS members
+FROM documents GROUP BY sha256(text) HAVING count(*) > 1""")
+def exact_dup_manifest(spark, d):
+    return R.duplicate_manifest(table(spark, d, "documents"), "text", "doc_id").where("n > 1").withColumn("members", F.concat_ws(",", F.col("members").cast("array<string>")))
+
+
+@query("SELECT sha256(text) AS digest, min(doc_id) AS keep FROM documents GROUP BY sha256(text)")
+def dedup_representatives(spark, d):
+    return R.duplicate_manifest(table(spark, d, "documents"), "text", "doc_id").select("digest", "keep")
+
+
+@query("""SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS usages, count(*) FILTER (n > 1) AS repeated, CAST(sum(n - 1) AS BIGINT) AS redundant
+FROM (SELECT count(*) AS n FROM documents GROUP BY sha256(text))""")
+def dup_summary(spark, d):
+    m = R.duplicate_manifest(table(spark, d, "documents"), "text", "doc_id")
+    return m.agg(F.count("*").alias("groups"), F.sum("n").alias("usages"), F.count_if(F.col("n") > 1).alias("repeated"), F.sum(F.col("n") - 1).alias("redundant"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest, length(text) AS size FROM documents")
+def digest_state(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("size"))
+
+
+DIFF = """WITH o AS (SELECT doc_id, sha256(text) AS h FROM documents), n AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN upper(text) ELSE text END) AS h FROM documents{where})
+SELECT n.doc_id FROM n LEFT JOIN o USING (doc_id) WHERE (SELECT count(*) FROM o) <> (SELECT count(*) FROM n) OR n.h IS DISTINCT FROM o.h"""
+
+
+def _diff(spark, d, keep: str):
+    old = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    new = table(spark, d, "documents").where(keep).select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.upper("text")).otherwise(F.col("text")), 256).alias("digest"))
+    return R.snapshot_diff(old, new, "doc_id", "digest")
+
+
+@query(DIFF.format(where=""))
+def snapshot_diff(spark, d):
+    return _diff(spark, d, "true")
+
+
+@query(DIFF.format(where=" WHERE doc_id > 0"))
+def snapshot_diff_structural(spark, d):
+    return _diff(spark, d, "doc_id > 0")
+
+
+@query("""SELECT conv_id, sha256(string_agg(k, chr(10) ORDER BY k)) AS digest FROM (SELECT conv_id, role || '|' || text AS k FROM conversations) GROUP BY conv_id""")
+def thread_digest(spark, d):
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.concat_ws("|", "role", "text"))).alias("k"))
+    return rows.select("conv_id", F.sha2(F.array_join("k", "\n"), 256).alias("digest"))
+
+
+@query("SELECT DISTINCT left(sha1(html), 12) || '.html' AS name, length(html) AS size FROM pages")
+def content_store(spark, d):
+    return table(spark, d, "pages").select(keys.content_name(F.col("html"), ".html").alias("name"), F.length("html").cast("long").alias("size")).dropDuplicates()
+
+
+@query(None)
+def surrogate_key(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", keys.thread_id(F.col("role"), F.concat_ws("-", "conv_id", "turn")).alias("thread_id"))
+
+
+# --- text and Markdown --------------------------------------------------------------
+
+same("title_hint", """SELECT doc_id, coalesce(nullif(trim(regexp_extract(text, '(?m)^\\\\s*([^\\\\s].*)$', 1)), ''), 'slide') AS title FROM {documents}""",
+     r"""SELECT doc_id, coalesce(nullif(trim(regexp_extract(text, '(?m)^\s*([^\s].*)$', 1)), ''), 'slide') AS title FROM {documents}""")
+
+STEM = r"""trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace({c}, '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '[\s-]+', '_', 'g'), '^_+|_+$', '', 'g')), '_+', '_', 'g'))"""
+H1 = r"regexp_extract(html, '<h1>([^<]*)</h1>', 1)"
+
+
+def _h1():
+    return F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
+
+
+@query(f"SELECT page_id, left({STEM.format(c=H1)}, 60) AS stem FROM pages")
+def sanitize_title(spark, d):
+    return table(spark, d, "pages").select("page_id", X.sanitised(_h1()).alias("stem"))
+
+
+@query(f"SELECT page_id, coalesce(nullif({H1}, ''), nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), regexp_extract(url, '([^/]+)/?$', 1), 'page') AS name FROM pages")
+def semantic_name(spark, d):
+    empty = F.lit("")
+    return table(spark, d, "pages").select("page_id", F.coalesce(F.nullif(_h1(), empty), F.nullif(F.regexp_extract("html", "<title>([^<]*)</title>", 1), empty), F.regexp_extract("url", "([^/]+)/?$", 1), F.lit("page")).alias("name"))
+
+
+@query(f"""SELECT page_id, CASE WHEN k = 1 THEN b ELSE b || '_' || (k - 1) END AS name FROM (
+SELECT page_id, b, row_number() OVER (PARTITION BY b ORDER BY page_id) AS k FROM (SELECT page_id, left({STEM.format(c=H1)}, 3) AS b FROM pages))""")
+def unique_names(spark, d):
+    rows = table(spark, d, "pages").select("page_id", F.left(X.sanitised(_h1()), F.lit(3)).alias("b"))
+    return rows.select("page_id", R.unique_names(rows, "b", "page_id", 1, "_").alias("name"))
+
+
+SLUG = rf"regexp_replace(regexp_replace(lower(trim({H1})), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '\s', '-', 'g')"
+
+
+@query(f"""SELECT page_id, CASE WHEN k = 0 THEN b ELSE b || '-' || k END AS slug FROM (
+SELECT page_id, b, row_number() OVER (PARTITION BY b ORDER BY page_id) - 1 AS k FROM (SELECT page_id, left({SLUG}, 4) AS b FROM pages))""")
+def heading_slugs(spark, d):
+    rows = table(spark, d, "pages").select("page_id", F.left(X.slug(_h1()), F.lit(4)).alias("b"))
+    return rows.select("page_id", R.unique_names(rows, "b", "page_id", 1, "-").alias("slug"))
+
+
+@query("""SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, l[i] AS href FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i
+FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages))""")
+def extract_links(spark, d):
+    return table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
+
+
+@query("""SELECT class, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(l, '^(?i)([a-z][a-z0-9+.-]*:|//)') THEN 'remote' WHEN l LIKE '/%' THEN 'absolute' ELSE 'relative' END AS class
+FROM (SELECT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS l FROM pages UNION ALL SELECT unnest(['https://a.example/x', '//cdn/x', 'img/a.png', '/b.png', 'mailto:a@b']))) GROUP BY class""")
+def classify_links(spark, d):
+    links = extract_links(spark, d).select(F.col("href").alias("l"))
+    more = spark.createDataFrame([(x,) for x in ("https://a.example/x", "//cdn/x", "img/a.png", "/b.png", "mailto:a@b")], "l string")
+    return links.unionByName(more).groupBy(X.link_class(F.col("l")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id, CAST(len(regexp_extract_all(html, '<!--[^>]*-->')) AS INTEGER) AS removed, sha256(regexp_replace(html, '<!--[^>]*-->', '', 'g')) AS digest FROM pages""")
+def strip_markers(spark, d):
+    return table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit("<!--[^>]*-->")).alias("removed"), F.sha2(F.regexp_replace("html", "<!--[^>]*-->", ""), 256).alias("digest"))
+
+
+@query("""SELECT page_id, regexp_extract_all(html, '<a href="/([^"]*)">', 1) = regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS equal FROM pages""")
+def toc_equality(spark, d):
+    return table(spark, d, "pages").select("page_id", (F.regexp_extract_all("html", F.lit('<a href="/([^"]*)">'), F.lit(1)) == F.regexp_extract_all("html", F.lit('<a href="[^"]*">([^<]*)</a>'), F.lit(1))).alias("equal"))
+
+
+LINES = """l AS (SELECT doc_id, lang, trim(unnest(string_split(text, chr(10)))) AS line FROM documents),
+c AS (SELECT lang, line, count(DISTINCT doc_id) AS n FROM l WHERE line <> '' AND length(line) <= 120 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2)"""
+
+
+def _lines(spark, d):
+    return table(spark, d, "documents").select("doc_id", "lang", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line"))
+
+
+def _repeated(spark, d):
+    short = _lines(spark, d).where((F.col("line") != "") & (F.length("line") <= 120)).distinct()
+    return short.groupBy("lang", "line").agg(F.count("*").alias("n")).where("n >= 2")
+
+
+@query(f"WITH {LINES} SELECT lang, line, n FROM c")
+def repeated_lines(spark, d):
+    return _repeated(spark, d)
+
+
+@query(f"WITH {LINES} SELECT lang, line, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, length(line), line) AS k FROM c) WHERE k = 1")
+def footer_top1(spark, d):
+    return R.latest(_repeated(spark, d), ["lang"], [F.desc("n"), F.length("line"), F.col("line")], 1)
+
+
+@query(f"WITH {LINES} SELECT doc_id, count(*) AS kept FROM l ANTI JOIN c ON l.lang = c.lang AND l.line = c.line GROUP BY doc_id")
+def chrome_anti_filter(spark, d):
+    return _lines(spark, d).join(_repeated(spark, d), ["lang", "line"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("kept"))
+
+
+@query("""SELECT conv_id, string_agg('## ' || (turn + 1) || ' ' || role || chr(10) || CASE WHEN trim(text) = '' THEN '_No notes_' ELSE text END, chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id""")
+def render_notes(spark, d):
+    body = F.when(F.trim("text") == "", "_No notes_").otherwise(F.col("text"))
+    row = F.struct("turn", F.concat(F.lit("## "), (F.col("turn") + 1).cast("string"), F.lit(" "), F.col("role"), F.lit("\n"), body).alias("t"))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["t"]), "\n").alias("markdown"))
+
+
+@query("SELECT conv_id, arg_min(role, turn) AS author, arg_min(sha256(text), turn) AS head, count(*) - 1 AS replies FROM conversations GROUP BY conv_id")
+def thread_rows(spark, d):
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("role", "turn").alias("author"), F.min_by(F.sha2("text", 256), "turn").alias("head"), (F.count("*") - 1).alias("replies"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(millisecond(ts) % 1000 AS VARCHAR), 3, '0') AS iso FROM events UNION ALL SELECT * FROM (VALUES (-1, '2024-02-03T04:05:06.000'), (-2, 'yesterday'), (-3, '2024-02-03T04:05:06.700'))")
+def ts_normalize(spark, d):
+    raw = table(spark, d, "events").select("event_id", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z")).alias("raw"))
+    more = spark.createDataFrame([(-1, "2024-02-03T04:05:06Z"), (-2, "yesterday"), (-3, "2024-02-03T04:05:06.700")], "event_id long, raw string")
+    return raw.unionByName(more).select("event_id", X.iso_millis(F.col("raw")).alias("iso"))
+
+
+@query("""SELECT doc_id, concat_ws(',', CASE WHEN n_chars > 2000 THEN 'long' END, CASE WHEN lang <> 'en' THEN 'foreign' END, CASE WHEN text LIKE '%License%' THEN 'license' END) AS reasons FROM documents""")
+def reason_array(spark, d):
+    reasons = F.array_compact(F.array(F.when(F.col("n_chars") > 2000, "long"), F.when(F.col("lang") != "en", "foreign"), F.when(F.col("text").contains("License"), "license")))
+    return table(spark, d, "documents").select("doc_id", F.array_join(reasons, ",").alias("reasons"))
+
+
+# --- joins and sets -----------------------------------------------------------------
+
+same("usage_error_split", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unlabelled' WHEN l.toxic = 1 THEN 'toxic' WHEN l.quality = 0 THEN 'junk' END AS reason FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id")
+same("rel_lookup", "SELECT o.o_orderkey, c.c_name FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey")
+same("lookup_left_fallback", "SELECT o.o_orderkey, coalesce(c.c_name, concat('TODO:', CAST(o.o_custkey AS STRING))) AS name FROM {orders} o LEFT JOIN (SELECT * FROM {customer} WHERE c_acctbal > 0) c ON o.o_custkey = c.c_custkey")
+same("rel_two_hop", "SELECT c.c_custkey, r.r_name FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey")
+same("graph_edges_semi", "SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_partkey IN (SELECT p_partkey FROM {part} WHERE p_size < 25) AND l_suppkey IN (SELECT s_suppkey FROM {supplier} WHERE s_acctbal > 0)")
+same("ledger_reconcile", "SELECT doc_id, 'kept not linked' AS problem FROM {labels} WHERE quality = 0 AND doc_id NOT IN (SELECT doc_id FROM {documents} WHERE n_chars > 500) UNION ALL SELECT doc_id, 'linked not kept' AS problem FROM {documents} WHERE n_chars > 500 AND doc_id NOT IN (SELECT doc_id FROM {labels} WHERE quality = 0)")
+same("ledger_rules", "SELECT CASE WHEN quality = 1 AND toxic = 0 THEN 'keep' WHEN quality = 1 THEN 'retry' ELSE 'omit' END AS disposition, count(*) AS n, count(CASE WHEN toxic = 1 THEN 1 END) AS errors FROM {labels} GROUP BY 1")
+same("set_algebra", "SELECT 'both' AS side, count(*) AS n FROM (SELECT doc_id FROM {documents} INTERSECT SELECT doc_id FROM {labels}) UNION ALL SELECT 'documents', count(*) FROM (SELECT doc_id FROM {documents} EXCEPT SELECT doc_id FROM {labels}) UNION ALL SELECT 'either', count(*) FROM (SELECT doc_id FROM {documents} UNION SELECT doc_id FROM {labels})")
+same("simple_counts", "SELECT 'lang' AS kind, lang AS value, count(*) AS n FROM {documents} GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM {documents} GROUP BY source UNION ALL SELECT 'role', role, count(*) FROM {conversations} GROUP BY role")
+same("order_yx", "SELECT s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS INT) AS k FROM {supplier}")
+same("layered_defaults", "SELECT s.s_suppkey, coalesce(CASE WHEN s.s_acctbal > 5000 THEN s.s_name END, CASE WHEN n.n_nationkey < 12 THEN n.n_name END, r.r_name) AS label FROM {supplier} s JOIN {nation} n ON s.s_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey")
+
+
+@query("""SELECT doc_id, coalesce(n.quality, o.quality) AS quality FROM (SELECT doc_id, quality FROM labels WHERE doc_id % 3 <> 0) o
+FULL JOIN (SELECT doc_id, 1 - quality AS quality FROM labels WHERE doc_id % 2 = 0) n USING (doc_id)""")
+def upsert_merge(spark, d):
+    rows = table(spark, d, "labels")
+    return R.upsert(rows.where("doc_id % 3 <> 0"), rows.where("doc_id % 2 = 0").withColumn("quality", 1 - F.col("quality")), ["doc_id"], ["quality"])
+
+
+@query("""SELECT event_id FROM events p WHERE event_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_id % 3 = 0 AND b.user_id = p.user_id AND date_trunc('hour', b.ts) = date_trunc('hour', p.ts))""")
+def pending_carryover(spark, d):
+    rows = table(spark, d, "events").withColumn("at", F.date_trunc("hour", "ts"))
+    return R.carry_over(rows.where("event_id % 2 = 0"), rows.where("event_id % 3 = 0"), ["user_id", "at"]).select("event_id")
+
+
+@query("""SELECT user_id, coalesce(c_name, 'user ' || user_id) AS name FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN customer ON c_custkey = user_id
+UNION SELECT c_custkey, c_name FROM customer""")
+def dim_insert_on_miss(spark, d):
+    known = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
+    return R.insert_on_miss(table(spark, d, "events"), known, "user_id", F.concat(F.lit("user "), F.col("user_id").cast("string")))
+
+
+@query("""SELECT p_partkey, coalesce(a.v, b.v, c.v) AS price FROM part p
+LEFT JOIN (SELECT p_brand, p_type, max(p_retailprice) AS v FROM part WHERE p_size > 40 GROUP BY ALL) a ON a.p_brand = p.p_brand AND a.p_type = p.p_type
+LEFT JOIN (SELECT p_brand, max(p_retailprice) AS v FROM part WHERE p_size > 49 GROUP BY ALL) b ON b.p_brand = p.p_brand
+LEFT JOIN (SELECT p_type, max(p_retailprice) AS v FROM part GROUP BY ALL) c ON c.p_type = p.p_type""")
+def fallback_inheritance(spark, d):
+    part = table(spark, d, "part")
+    none = F.lit(None).cast("string")
+    price = F.max("p_retailprice").alias("price")
+    defaults = part.where("p_size > 40").groupBy("p_brand", "p_type").agg(price).unionByName(
+        part.where("p_size > 49").groupBy("p_brand").agg(price).withColumn("p_type", none)).unionByName(
+        part.groupBy("p_type").agg(price).withColumn("p_brand", none))
+    return R.fallback_lookup(part, defaults, [["p_brand", "p_type"], ["p_brand"], ["p_type"]], "price").select("p_partkey", "price")
+
+
+# --- numbering ----------------------------------------------------------------------
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (2, 3, 4, 5, 9)")
+def range_select(spark, d):
+    ids = R.range_select("2-5,9,40", 24)
+    return table(spark, d, "nation").where(F.col("n_nationkey").isin(ids)).select("n_nationkey", "n_name")
+
+
+SLOTS = """s AS (SELECT n_nationkey + 1 AS old, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation WHERE n_nationkey + 1 NOT IN (3, 7)),
+f AS (SELECT i AS new, row_number() OVER (ORDER BY i) AS k FROM (SELECT unnest(range(1, 26)) AS i) WHERE i NOT IN (2, 10)),
+plan AS (SELECT old, CAST(new AS INTEGER) AS new FROM s JOIN f USING (k))"""
+
+
+def _plan(spark, d):
+    return R.slot_plan(table(spark, d, "nation").select((F.col("n_nationkey") + 1).alias("i")), "i", [3, 7], [2, 10])
+
+
+@query(f"WITH {SLOTS} SELECT old, new FROM plan")
+def slot_plan(spark, d):
+    return _plan(spark, d)
+
+
+@query(f"""WITH {SLOTS}, r AS (SELECT old, CASE WHEN new > 20 THEN 21 ELSE new END AS new FROM plan)
+SELECT new AS target, 'duplicate' AS problem FROM r GROUP BY new HAVING count(*) > 1
+UNION ALL SELECT DISTINCT new, 'occupied' FROM r WHERE old <> new AND new IN (SELECT n_nationkey + 1 FROM nation WHERE n_nationkey > 20)""")
+def clobber_check(spark, d):
+    renames = _plan(spark, d).withColumn("new", F.when(F.col("new") > 20, 21).otherwise(F.col("new")))
+    return R.clobbers(renames, table(spark, d, "nation").where("n_nationkey > 20").select((F.col("n_nationkey") + 1).alias("index")))
+
+
+@query("""SELECT l.l_orderkey, l.l_linenumber, n.new_id FROM lineitem l JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS new_id FROM orders) n ON l.l_orderkey = n.o_orderkey""")
+def dense_renumber(spark, d):
+    ids = R.dense_ids(table(spark, d, "orders"), "o_orderkey")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").join(ids, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "new_id")
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 10")
+def retention_top10(spark, d):
+    return R.latest(table(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 10).select("user_id", "event_id")
+
+
+@query("""SELECT l_orderkey, CASE WHEN min(l_returnflag) = max(l_returnflag) THEN min(l_returnflag) END AS flag, CASE WHEN min(l_linestatus) = max(l_linestatus) THEN min(l_linestatus) END AS status FROM lineitem GROUP BY l_orderkey""")
+def all_equal_promote(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(R.all_equal("l_returnflag").alias("flag"), R.all_equal("l_linestatus").alias("status"))
+
+
+# --- hierarchy and grids ------------------------------------------------------------
+
+
+def _geo(spark, d):
+    region = table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_regionkey").cast("int").alias("ord"))
+    nation = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent_id"), F.col("n_nationkey").cast("int").alias("ord"))
+    customer = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parent_id"), F.col("c_custkey").cast("int").alias("ord"))
+    return region.unionByName(nation).unionByName(customer)
+
+
+GEO = """RECURSIVE t AS (SELECT 'r' || r_regionkey AS id, NULL AS parent_id FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
+f AS (SELECT id, 0 AS depth, id AS path FROM t WHERE parent_id IS NULL UNION ALL SELECT t.id, depth + 1, path || '/' || t.id FROM t JOIN f ON t.parent_id = f.id)"""
+
+
+@query(f"WITH {GEO} SELECT id, depth, path FROM f")
+def flatten_tree(spark, d):
+    from lamina.operators import tree
+
+    return tree.flatten(_geo(spark, d)).select("id", "depth", F.array_join("path", "/").alias("path"))
+
+
+@query(f"WITH {GEO} SELECT DISTINCT unnest(string_split(path, '/')) AS id FROM f WHERE id IN ('c7', 'c11', 'n3', 'x1')")
+def subtree_select(spark, d):
+    from lamina.operators import tree
+
+    return tree.keep_with_ancestors(tree.flatten(_geo(spark, d)), spark.createDataFrame([("c7",), ("c11",), ("n3",), ("x1",)], "id string"))
+
+
+@query(f"WITH {GEO} SELECT id, CAST(list_product(list_transform(string_split(path, '/'), lambda x: 1 + CAST(substr(x, 2) AS INTEGER) % 3)) AS BIGINT) AS scale FROM f")
+def transform_fold(spark, d):
+    from lamina.operators import tree
+
+    one = lambda x: (F.substring(x, 2, 9).cast("int") % 3 + 1).cast("double")
+    zero = F.lit(0.0)
+    chain = F.transform("path", lambda x: F.struct(zero.alias("x"), zero.alias("y"), one(x).alias("sx"), one(x).alias("sy"), zero.alias("rot")))
+    return tree.flatten(_geo(spark, d)).select("id", tree.fold_transforms(chain)["sx"].cast("long").alias("scale"))
+
+
+@query("SELECT vec_id, CAST((i - 1) // 8 AS INTEGER) AS r, CAST((i - 1) % 8 AS INTEGER) AS c, embedding[i] AS v FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)")
+def unnest_grid(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "v")).select("vec_id", F.floor(F.col("p") / 8).cast("int").alias("r"), (F.col("p") % 8).alias("c"), "v")
+
+
+@query("SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 90000 * 0.5) AS BIGINT)), ',') AS scaled FROM embeddings")
+def nested_scale(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * 90000 * 0.5).cast("string")), ",").alias("scaled"))
+
+
+@query("""SELECT vec_id, string_agg(CASE WHEN embedding[i] > embedding[i + 1] THEN '1' ELSE '0' END, '' ORDER BY i) AS bits
+FROM (SELECT *, unnest(range(1, 64)) AS i FROM embeddings) WHERE i % 8 <> 0 GROUP BY vec_id""")
+def perceptual_bits(spark, d):
+    at = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: i % 8 != 7)
+    return table(spark, d, "embeddings").select("vec_id", F.array_join(F.transform(at, lambda i: F.when(F.element_at("embedding", i + 1) > F.element_at("embedding", i + 2), "1").otherwise("0")), "").alias("bits"))
+
+
+@query("""SELECT vec_id, CAST(min((i - 1) // 8) AS INTEGER) AS top, CAST(max((i - 1) // 8) AS INTEGER) AS bottom, CAST(min((i - 1) % 8) AS INTEGER) AS "left", CAST(max((i - 1) % 8) AS INTEGER) AS "right"
+FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings) WHERE embedding[i] > 0.1 GROUP BY vec_id""")
+def bbox(spark, d):
+    return unnest_grid(spark, d).where(F.col("v") > 0.1).groupBy("vec_id").agg(F.min("r").alias("top"), F.max("r").alias("bottom"), F.min("c").alias("left"), F.max("c").alias("right"))
+
+
+@query("""WITH RECURSIVE g AS (SELECT vec_id, (i - 1) // 8 AS r, (i - 1) % 8 AS c FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings) WHERE embedding[i] < 0),
+f AS (SELECT vec_id, r, c FROM g WHERE r IN (0, 7) OR c IN (0, 7) UNION SELECT g.vec_id, g.r, g.c FROM g JOIN f ON g.vec_id = f.vec_id AND abs(g.r - f.r) + abs(g.c - f.c) = 1)
+SELECT vec_id, count(*) AS reached FROM f GROUP BY vec_id""")
+def flood_fill(spark, d):
+    import numpy as np
+
+
+    from lamina.operators import raster
+
+    @F.pandas_udf("long")
+    def reached(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: int(raster.flood_from_border(np.asarray(x, float).reshape(8, 8) < 0).sum()))
+
+    return table(spark, d, "embeddings").select("vec_id", reached("embedding").alias("reached")).where("reached > 0")
+
+
+@query("""SELECT a.vec_id, CAST(sum(CAST(floor((CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * 1000) AS BIGINT)) AS BIGINT) AS delta
+FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings) a JOIN embeddings b ON b.vec_id = a.vec_id + 1 GROUP BY a.vec_id""")
+def matte_zip(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    pair = rows.join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
+    delta = F.zip_with("embedding", "other", lambda a, b: F.floor((a.cast("double") - b.cast("double")) * 1000))
+    return pair.select("vec_id", F.aggregate(delta, F.lit(0).cast("long"), lambda s, x: s + x).alias("delta"))
+
+
+@query(None)
+def unzip_and_parse(spark, d):
+    """Packages made of documents, one a document, read back through the package source."""
+
+
+    from lamina.sources import package
+
+    @F.pandas_udf("binary")
+    def built(text: pd.Series) -> pd.Series:
+        from xml.sax.saxutils import escape
+
+        page = '<p:sld xmlns:p="p" xmlns:a="a"><p:cSld><p:spTree><p:sp><p:nvSpPr><p:cNvPr id="2" name="Title"/></p:nvSpPr><p:txBody><a:p><a:r><a:t>{}</a:t></a:r></a:p></p:txBody></p:sp></p:spTree></p:cSld></p:sld>'
+        clean = text.fillna("").str.replace("[\x00-\x08\x0b-\x1f]", " ", regex=True)
+        return clean.map(lambda t: package.write_package([("[Content_Types].xml", b"<Types/>"), ("ppt/slides/slide1.xml", page.format(escape(t)).encode())]))
+
+    decks = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("deck"), built("text").alias("body"))
+    shapes = package.shapes(package.slide_parts(package.parts(decks, r"^ppt/slides/")))
+    return shapes.select("deck", "shape_id", "name", F.length("text").cast("long").alias("n_chars"))
