@@ -6,11 +6,12 @@ import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "lamina/threads")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def thread_id(author: pd.Series, created: pd.Series) -> pd.Series:
     """Upper-case braced uuid5 of author and time."""
     return pd.Series(["{" + str(uuid.uuid5(NAMESPACE, f"{a}|{c}")).upper() + "}" for a, c in zip(author, created, strict=True)])
