@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,18 @@ def test_packing_round_trip(spark):
     assert packing.pack(documents(spark, rows).limit(0), tokenizer_path()).count() == 0
 
 
+def test_portions_of_words_match_the_tokenizers_library():
+    from tokenizers import Tokenizer
+
+    texts = [None, "", " ", "  a", "a  b", "a b ", "\n", "a\nb c", "a \nb", "it's 's don't", "\xe9 \u6f22\u5b57 \u3000x", "a\u00a0 b", "x" * 200 + " y",
+             "<|endoftext|> a b", "word " * 3, "a\x1c b", "12 345 6,7", "\U0001f600 ok \u0301z"]
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    tokenizer.encode_special_tokens = True
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.encoder(tokenizer_path()).encode_all(pa.array(texts))]
+    assert got == want
+
+
 def test_packing_limits():
     out = []
     packer = packing.Packer(out.append, 64, 4, 30)
