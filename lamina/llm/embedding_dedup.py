@@ -1,15 +1,18 @@
 """Near-duplicate embeddings by sorted projection passes.
 
-Equal vectors are one class. Each pass draws random hyperplanes, orders the classes by the
-concatenated signs of a class's projections, and cuts the order into blocks of BLOCK neighbours.
-A class is compared with those of its own block and of the next one, in double precision. A pair is
-counted in the first pass that compares it (each row carries its blocks of all passes), so nothing
-is emitted pair by pair: a block gives the number of new links of each row and a spanning forest of
-them. The links of all passes are united by connected components.
-
-Ranks come from a range-partitioned sort of ids and keys, written once; only the row count of each
-partition reaches the driver. Equal keys are ordered by a hash that differs in each pass. A row is
-copied to two blocks a pass, and a group of copies or of vectors with one key only fills more blocks.
+Equal vectors are one class. Up to ALL_TILES tiles of BLOCK classes are compared with each other, all
+of them. Beyond that each pass draws random hyperplanes, a class's key is the signs of its
+projections, and a run of equal keys is compared pairwise whatever its size: a run of more than BLOCK
+classes is dealt into tiles, and each two tiles are one product. A pair at the threshold has equal
+keys in a pass with probability (1 - angle / pi) ^ bits; the passes are as many as make the
+probability that it is in no run at most MISS, so they grow with the number of classes, and a pair's
+chance depends on no other vector. Comparisons are in double precision. A pair is counted in the first
+pass that compares it (each row carries its keys of all passes), so nothing is emitted pair by pair:
+two tiles give the number of new links of each row and a spanning forest of them. The links of all
+passes are united by connected components.
+
+A row is copied once for each tile of its run in each pass. Runs of more than one tile are counted and
+broadcast. The comparisons in a dense group grow with the square of its size, as the links do.
 
 Defined results: null and zero vectors, and those with null or non-finite components, link with
 nothing (n_links 0, component_id their own vec_id). Vectors of different lengths are never compared.
@@ -20,6 +23,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +34,9 @@ from pyspark.sql import functions as F
 from lamina.llm.common import components, stored
 
 COSINE = 0.95
-PASSES = 12
-BLOCK = 256
-BITS = 60
+BLOCK = 4096
+ALL_TILES = 16
+MISS = 1e-4
 SEED = 11
 
 
@@ -41,111 +45,136 @@ def usable(v) -> F.Column:
         F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def keys(classes: DataFrame, passes: int, seed: int) -> DataFrame:
-    """class_id, dim, pass, key: the signs of BITS projections, the first one highest."""
+def bits_and_passes(n: int, threshold: float, block: int, miss: float = MISS) -> tuple[int, int]:
+    """Bits of a key and passes for n classes of one dimension; no bits is one run of all of them."""
+    tiles = -(-n // block)
+    if tiles <= ALL_TILES:
+        return 0, 1
+    bits = math.ceil(math.log2(n / block))
+    together = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    passes = math.ceil(math.log(miss) / math.log1p(-together)) if 0 < together < 1 else 1 if together else tiles
+    return (bits, passes) if passes < tiles else (0, 1)
+
+
+def packed(x: np.ndarray) -> list[bytes]:
+    """Rows as bytes, in single precision where that loses nothing."""
+    with np.errstate(over="ignore", under="ignore"):
+        short = x.astype("<f4")
+    same = (short.astype(np.float64) == x).all(1)
+    return [(short[i] if same[i] else x[i]).tobytes() for i in range(len(x))]
+
+
+def unpacked(rows: list[bytes], dim: int) -> np.ndarray:
+    out = np.empty((len(rows), dim))
+    for i, r in enumerate(rows):
+        out[i] = np.frombuffer(r, "<f4" if len(r) == 4 * dim else "<f8")
+    return out
+
+
+def keys(classes: DataFrame, plan: dict[int, tuple[int, int]], seed: int) -> DataFrame:
+    """class_id, dim, copies, x, keys: the vector's bytes and the signs of its projections in each pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[tuple[int, int], np.ndarray] = {}
-        weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+        planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids, vectors = batch.column("class_id").to_numpy(), batch.column("v").to_pylist()
+            ids, copies, vectors = batch.column("class_id").to_numpy(), batch.column("copies").to_numpy(), batch.column("v").to_pylist()
             dims = np.array([len(v) for v in vectors])
             for dim in np.unique(dims):
                 own = dims == dim
                 x = np.array([v for v, o in zip(vectors, own, strict=True) if o], np.float64)
-                for p in range(passes):
-                    if (p, dim) not in planes:
-                        planes[p, dim] = np.random.default_rng([seed, p, int(dim)]).normal(size=(int(dim), BITS))
-                    key = ((x @ planes[p, dim]) > 0).astype(np.int64) @ weights
-                    n = len(key)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[own]), pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, p, np.int32)), pa.array(key)], names=["class_id", "dim", "pass", "key"])
-
-    return classes.select("class_id", "v").mapInArrow(run, "class_id long, dim int, pass int, key long")
-
-
-def blocks(signed: DataFrame, block: int) -> DataFrame:
-    """class_id, dim, pass, block: the place in the order of its pass and dimension, in blocks."""
-    spark = signed.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["dim", "pass", "key", "tie"]
-    placed = signed.withColumn("tie", F.xxhash64("class_id", "pass")).repartitionByRange(n, *order).sortWithinPartitions(*order)
-    placed = stored(placed.select("class_id", "dim", "pass", F.monotonically_increasing_id().alias("at")), "ranks")
-    sizes = placed.groupBy(F.shiftright("at", 33).alias("part"), "dim", "pass").agg(F.count("*").alias("n"), F.min("at").alias("first")).collect()
-    before, total = [], {}
-    for r in sorted(sizes, key=lambda r: r["first"]):  # a row for each partition and each pass that it holds
-        order_of = (r["dim"], r["pass"])
-        before.append((r["part"], r["dim"], r["pass"], total.get(order_of, 0) - r["first"]))
-        total[order_of] = total.get(order_of, 0) + r["n"]
-    shift = F.broadcast(spark.createDataFrame(before, "part long, dim int, pass int, shift long"))
-    return placed.withColumn("part", F.shiftright("at", 33)).join(shift, ["part", "dim", "pass"]).select(
-        "class_id", "dim", "pass", F.floor((F.col("at") + F.col("shift")) / block).cast("int").alias("block"))
-
-
-class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
-def compare(vectors: np.ndarray, ids: np.ndarray, places: np.ndarray, copies: np.ndarray, home: np.ndarray, this: int, threshold: float):
-    """Links first compared in pass `this`, within home rows and between home rows and those of the next block.
-
-    home marks rows of this block. Returns (class, links in vectors) and (class, class) of a spanning forest.
+                bits, passes = plan[int(dim)]
+                if dim not in planes:
+                    planes[dim] = np.random.default_rng([seed, int(dim)]).normal(size=(int(dim), passes * bits))
+                signs = ((x @ planes[dim]) > 0).reshape(len(x), passes, bits)
+                key = signs.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[own]), pa.array(np.full(len(x), dim, np.int32)), pa.array(copies[own]), pa.array(packed(x), pa.binary()), pa.array(key.tolist(), pa.list_(pa.int64()))],
+                    names=["class_id", "dim", "copies", "x", "keys"])
+
+    return classes.select("class_id", "v", "copies").mapInArrow(run, "class_id long, dim int, copies long, x binary, keys array<long>")
+
+
+def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of a spanning forest of the links that a matrix marks."""
+    label, rows, columns = np.arange(near.shape[1]), [], []
+    for i in np.flatnonzero(near.any(1)):
+        j = np.flatnonzero(near[i])
+        own = label[j]
+        if (own == own[0]).all():
+            j = j[:1]
+        else:
+            own, first = np.unique(own, return_index=True)
+            j, joined = j[first], np.zeros(len(label), bool)
+            joined[own] = True
+            label[joined[label]] = own[0]
+        rows.append(np.full(len(j), i))
+        columns.append(j)
+    return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.empty(0, int), np.empty(0, int))
+
+
+def compare(vectors: np.ndarray, ids: np.ndarray, keys: np.ndarray, copies: np.ndarray, first: np.ndarray, same: bool, this: int, threshold: float):
+    """Links first compared in pass `this` within one tile, or between the tile that `first` marks and the other.
+
+    Returns (class, links in vectors) and the ends of a spanning forest.
     """
     unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
-    cosine = unit @ unit.T
-    near = np.triu(cosine >= threshold, 1) & (home[:, None] | home[None, :])
-    i, j = np.nonzero(near)
-    earlier = np.abs(places[i, :this] - places[j, :this]) <= 1
-    keep = ~earlier.any(1)
-    i, j = i[keep], j[keep]
-    links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-    forest = Forest(len(ids))
-    edges = [(int(ids[a]), int(ids[b])) for a, b in zip(i.tolist(), j.tolist(), strict=True) if forest.join(a, b)]
-    return links.astype(np.int64), edges
-
-
-def near_links(classes: DataFrame, placed: DataFrame, passes: int, threshold: float) -> DataFrame:
+    a, b = np.flatnonzero(first), np.flatnonzero(first if same else ~first)
+    near, links = np.zeros((len(a), len(b)), bool), np.zeros(len(ids))
+    many, other = copies.astype(np.float64), unit[b].T.copy()
+    for at in range(0, len(a), 512):
+        own = a[at : at + 512]
+        part = unit[own] @ other >= threshold
+        if same:
+            part &= np.arange(len(b)) > np.arange(at, at + len(own))[:, None]
+        if not part.any():
+            continue
+        for p in range(this):
+            part &= keys[own, p][:, None] != keys[b, p]
+        near[at : at + len(own)] = part
+        whole = part.astype(np.float64)
+        links[own] += whole @ many[b]
+        links[b] += many[own] @ whole
+    i, j = spanning(near)
+    return links.astype(np.int64), (ids[a[i]], ids[b[j]])
+
+
+def near_links(signed: DataFrame, block: int, threshold: float) -> DataFrame:
     """a, b, n: a spanning edge (n null) or the number of new links of class a (b null)."""
-    wide = placed.groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("pass", "block"))).alias("places"))
-    rows = classes.join(wide, "class_id").withColumn("at", F.explode("places"))
-    rows = rows.select("class_id", "v", "copies", "places.block", F.size("v").alias("dim"), "at.pass", F.explode(F.array(F.col("at.block"), F.col("at.block") - 1)).alias("group"), F.col("at.block").alias("own"))
+    run_of = ["dim", "pass", "run"]
+    large = signed.select("dim", F.posexplode("keys").alias("pass", "run")).groupBy(*run_of).agg(F.ceil(F.count("*") / block).alias("tiles")).where("tiles > 1")
+    rows = signed.select("*", F.posexplode("keys").alias("pass", "run")).join(F.broadcast(large), run_of, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("class_id", "pass"), F.col("tiles"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    rows = rows.select("class_id", "copies", "x", "keys", "own", *run_of, F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"))
 
     def run(batch: pa.Table) -> pa.Table:
-        this, group = batch.column("pass")[0].as_py(), batch.column("group")[0].as_py()
-        links, edges = compare(
-            np.array(batch.column("v").to_pylist(), np.float64), batch.column("class_id").to_numpy(), np.array(batch.column("block").to_pylist()),
-            batch.column("copies").to_numpy(), batch.column("own").to_numpy() == group, this, threshold)
+        dim, this, low, high = (batch.column(c)[0].as_py() for c in ("dim", "pass", "low", "high"))
+        ids = batch.column("class_id").to_numpy()
+        links, (a, b) = compare(
+            unpacked(batch.column("x").to_pylist(), dim), ids, np.array(batch.column("keys").to_pylist()), batch.column("copies").to_numpy(),
+            batch.column("own").to_numpy() == low, low == high, this, threshold)
         some = np.flatnonzero(links)
-        ids = batch.column("class_id").to_numpy()[some]
         return pa.table({
-            "a": pa.array([*ids.tolist(), *(a for a, _ in edges)], pa.int64()), "b": pa.array([*[None] * len(ids), *(b for _, b in edges)], pa.int64()),
-            "n": pa.array([*links[some].tolist(), *[None] * len(edges)], pa.int64())})
+            "a": pa.array(np.concatenate([ids[some], a])), "b": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(b, pa.int64())]),
+            "n": pa.concat_arrays([pa.array(links[some]), pa.nulls(len(a), pa.int64())])})
 
-    return rows.groupBy("dim", "pass", "group").applyInArrow(run, "a long, b long, n long")
+    return rows.groupBy(*run_of, "low", "high").applyInArrow(run, "a long, b long, n long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = COSINE, passes: int = PASSES, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of vectors(vec_id, embedding)."""
+def near_duplicates(vectors: DataFrame, threshold: float = COSINE, passes: int | None = None, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row of vectors(vec_id, embedding).
+
+    passes replaces the number that MISS asks for where not all pairs are compared.
+    """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     good = rows.where(usable(F.col("v")))
     text = F.sha2(F.to_json(F.struct("v")), 256)
     named = stored(good.select("vec_id", "v", text.alias("digest"), F.monotonically_increasing_id().alias("rid")), "vectors")
     groups = stored(named.groupBy("digest").agg(F.min("rid").alias("class_id"), F.min("vec_id").alias("low"), F.count("*").alias("copies")), "classes")
     classes = stored(named.join(groups, F.col("rid") == F.col("class_id")).select("class_id", "v", "copies", "low"), "class-vectors")
-    placed = blocks(keys(classes, passes, seed), block)
-    found = stored(near_links(classes.drop("low"), placed, passes, threshold), "links")
+    plan = {r.dim: bits_and_passes(r.n, threshold, block) for r in classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    if passes:
+        plan = {dim: (bits, passes if bits else 1) for dim, (bits, _) in plan.items()}
+    found = stored(near_links(stored(keys(classes, plan, seed), "keys"), block, threshold), "links")
     parts = components(found.where("b is not null").select("a", "b"))
     degree = found.where("n is not null").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("n"))
     joined = groups.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").join(degree, "class_id", "left")

@@ -258,3 +258,20 @@ def test_queries_without_sql(spark, name):
     table = "documents" if key == "doc_id" else "pages"
     ids = spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").select(key)
     assert df.select(key).distinct().count() == ids.count() and ids.select(F.col(key)).exceptAll(df.select(key).distinct()).count() == 0
+
+
+def test_links_of_a_dense_group_of_near_copies_are_all_found(spark):
+    rng = np.random.default_rng(6)
+    group = rng.normal(size=64) * (1 + rng.random((1500, 1))) + 0.15 * rng.normal(size=(1500, 64))
+    x = np.concatenate([group, rng.normal(size=(1500, 64))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    # 24 tiles, so by passes over keys; defaults compare all pairs
+    for block in (128, embedding_dedup.BLOCK):
+        got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=block).collect()}
+        found = np.array([got[i].n_links for i in range(len(x))])
+        true = near.sum(1) - 1
+        assert (found <= true).all() and found.sum() >= 0.999 * true.sum() > 1_000_000 and all(got[i].component_id == 0 for i in range(1500))
+        assert block == 128 or (found == true).all()
+    assert embedding_dedup.bits_and_passes(3000, 0.95, 128)[0] > 0 and embedding_dedup.bits_and_passes(3000, 0.95, 4096) == (0, 1)
