@@ -12,13 +12,16 @@ SHARE of the largest passage's text.
 Inside a block each run of white space is one space; blocks are joined by two line feeds in page
 order. Character references are decoded after tags are removed. Defined results: null html gives
 an empty text, as does a page without text outside boilerplate. Rows with null or repeated page_id
-are handled as any other. Unclosed elements end with their container or the page. Columns besides
+are handled as any other. Elements end where HTML ends them: with their
+end tag, their container or an implied end. A boilerplate element that lacks a needed end tag ends at
+the next paragraph, heading, section, article or main. Columns besides
 page_id, url and html are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -49,6 +52,113 @@ MARKS = frozenset(
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
+EMPTY = re.compile(r"(?:\A|[\s\"'])/\Z")
+#: Elements whose end tag may be left out, and what closes them: the element started, those it ends, those that bound the search.
+ROWS = frozenset("tr tbody thead tfoot caption".split())
+IMPLIED = (
+    {"li": (frozenset(["li"]), BLOCKS - {"address", "div", "p"})}
+    | {n: (frozenset(["dt", "dd"]), BLOCKS - {"address", "div", "p"} | {"dl"}) for n in ("dt", "dd")}
+    | {n: (frozenset(["td", "th"]), ROWS | {"table"}) for n in ("td", "th")}
+    | {"tr": (frozenset(["tr", "caption"]), frozenset("tbody thead tfoot table".split()))}
+    | {n: (ROWS, frozenset(["table"])) for n in ("tbody", "thead", "tfoot")}
+)
+OPTIONAL = frozenset("p li dt dd td th tr tbody thead tfoot caption body html head".split())
+BOUNDS = frozenset("table td th caption button".split())
+TABLE = frozenset("table td th tr tbody thead tfoot caption".split())
+IN_HEAD = frozenset("head base link meta".split())
+#: What ends an element that never has the end tag it needs.
+ENDERS = frozenset("p h1 h2 section blockquote pre".split()) | CONTENT
+
+
+class Element:
+    __slots__ = ("name", "attributes", "closed", "content", "counted", "size", "links")
+
+    def __init__(self, name: str, attributes: str):
+        self.name, self.attributes, self.closed, self.content, self.counted, self.size, self.links = name, attributes, False, False, False, 0, 0
+
+
+def tree(html: str) -> list[tuple[str, Element | str]]:
+    """The page as ('text', text), ('open', element) and ('close', element), every element closed.
+
+    An element ends with its end tag, with an end tag of its container, or where HTML implies its end. `closed`
+    says that it had its own end tag, `content` that an article or main element is within it, `size` and
+    `links` are the characters of text within it, and those of them in links.
+    """
+    out: list[tuple[str, Element | str]] = []
+    stack: list[Element] = []
+    count: Counter[str] = Counter()  # of open elements by name
+    size = linked = 0
+    at, end = 0, len(html)
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            e = stack.pop()
+            e.size, e.links = size - e.size, linked - e.links
+            count[e.name] -= 1
+            out.append(("close", e))
+
+    def last(names: frozenset[str] | set[str], bounds: frozenset[str]) -> int:
+        if not any(count[n] for n in names):
+            return -1
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i].name in names:
+                return i
+            if stack[i].name in bounds:
+                break
+        return -1
+
+    while at < end:
+        m = TOKEN.search(html, at)
+        if piece := html[at : m.start()] if m else html[at:]:
+            piece = unescape(piece)
+            n = len(piece.strip())
+            size += n
+            if count["a"]:
+                linked += n
+            out.append(("text", piece))
+        if not m:
+            break
+        at = m.end()
+        if not m[2]:
+            continue
+        name = m[2].lower()
+        if m[1]:
+            if name in ("body", "html"):
+                continue
+            bounds = frozenset() if name in TABLE else BOUNDS if name in BLOCKS or name in SKIPPED else BLOCKS
+            if (i := last({name}, bounds)) >= 0:
+                close(i + 1)
+                stack[-1].closed = True
+                close(i)
+            continue
+        if name in RAW:
+            if not EMPTY.search(m[3]):
+                found = ENDS[name].search(html, at)
+                at = found.end() if found else end if name in ("script", "style") else at
+            continue
+        if stack and name not in IN_HEAD and (i := last({"head"}, frozenset())) >= 0:
+            close(i)
+        if name in BLOCKS and (i := last({"p"}, BOUNDS)) >= 0:
+            close(i)
+        if name in IMPLIED and (i := last(*IMPLIED[name])) >= 0:
+            close(i)
+        if name == "a" and (i := last({"a"}, BLOCKS)) >= 0:
+            close(i)
+        e = Element(name, m[3])
+        if name in CONTENT:
+            for x in reversed(stack):
+                if x.content:
+                    break
+                x.content = True
+        e.size, e.links = size, linked
+        out.append(("open", e))
+        stack.append(e)
+        count[name] += 1
+        if name in VOID or EMPTY.search(m[3]):
+            e.closed = True
+            close(len(stack) - 1)
+    close(0)
+    return out
 
 
 def _boilerplate(name: str, attributes: str, inside: bool) -> bool:
@@ -72,7 +182,7 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
     """Lines of a page as (text, characters in links, inside article or main); '' for empty ones."""
     out: list[tuple[str, int, bool]] = []
     text: list[str] = []
-    links, link, content, skipping, depth = 0, 0, 0, "", 0
+    links, link, content, skipping = 0, 0, 0, None
 
     def flush() -> None:
         nonlocal links
@@ -85,49 +195,37 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
         flush()
         out.extend([("", 0, False)] * GAP)
 
-    at, end = 0, len(html)
-    while at < end:
-        m = TOKEN.search(html, at)
-        piece = html[at : m.start()] if m else html[at:]
-        if piece and not skipping:
-            piece = unescape(piece)
-            text.append(piece)
-            if link:
-                links += len(piece.strip())
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
-            continue
-        name, closing = m[2].lower(), bool(m[1])
-        if name in RAW and not closing:
-            if not m[3].endswith("/"):
-                close = ENDS[name].search(html, at)
-                at = close.end() if close else end
+    for kind, e in tree(html):
+        if kind == "text":
+            if not skipping:
+                text.append(e)
+                if link:
+                    links += len(e.strip())
             continue
+        opening = kind == "open"
         if skipping:
-            # <body> ends a head, and an article or main element ends what was left open before it
-            if name == skipping:
-                depth += -1 if closing else 1
-            elif not closing and (skipping == "head" and name == "body"):
-                depth = 0
-            if depth <= 0:
-                skipping = ""
+            if opening and not skipping.closed and (e.name in CONTENT or skipping.name not in OPTIONAL and e.name in ENDERS):
+                skipping = None  # it ends what was left open before it
                 gap()
+            else:
+                if e is skipping:
+                    skipping = None
+                    gap()
+                continue
+        if opening and e.name not in VOID and _boilerplate(e.name, e.attributes, content > 0):
+            skipping = e
+            flush()
             continue
-        if not closing and name not in VOID and _boilerplate(name, m[3], content > 0):
-            if not m[3].endswith("/"):
-                skipping, depth = name, 1
-                flush()
-            continue
-        if name == "a":
-            link = 0 if closing else 1
-        elif name == "br":
+        if opening:
+            e.counted = True
+        if e.name == "a":
+            link += 1 if opening else -e.counted
+        elif e.name == "br":
             text.append(" ")
-        elif name in CONTENT:
+        elif e.name in CONTENT:
             gap()
-            content = max(0, content + (-1 if closing else 1))
-        elif name in BLOCKS:
+            content += 1 if opening else -e.counted
+        elif e.name in BLOCKS:
             flush()
     flush()
     return out

@@ -275,3 +275,17 @@ def test_links_of_a_dense_group_of_near_copies_are_all_found(spark):
         assert (found <= true).all() and found.sum() >= 0.999 * true.sum() > 1_000_000 and all(got[i].component_id == 0 for i in range(1500))
         assert block == 128 or (found == true).all()
     assert embedding_dedup.bits_and_passes(3000, 0.95, 128)[0] > 0 and embedding_dedup.bits_and_passes(3000, 0.95, 4096) == (0, 1)
+
+
+@pytest.mark.parametrize("html, want", [
+    ('<article><p class="notice">Note<p>Body one.<p>Body two.</article>', "Body one.\n\nBody two."),
+    ("<article><aside>Note<p>Body one.<p>Body two.</article>", "Body one.\n\nBody two."),
+    ("<div><nav><a href=x>Menu</a></div><article><p>Body one.</article>", "Body one."),
+    ("<nav><ul><li><a href=x>Menu</a><article><p>Body one.</p></article>", "Body one."),
+    ("<article><ul><li class=ad>Buy<li>Item</ul><p>Body one.</article>", "Item\n\nBody one."),
+    ("<html><head><title>T</title><div><p>Body one.</div>", "Body one."),
+    ("<article><aside><div>x</div><p>Side.</p></aside><p>Body one.</article>", "Body one."),
+    ("<article><p>Body <b>one</p></b> more.<select><p>Two.</article>", "Body one\n\nmore.\n\nTwo."),
+])
+def test_html_elements_without_an_end_tag(html, want):
+    assert html_text.main_text(html) == want
