@@ -1,7 +1,8 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines: a block element starts a line, a boilerplate container (navigation,
-footer, form, advert, comment section and the like, by element or by class, id or role) leaves GAP
+footer, form, advert, comment section and the like, by element or by class, id or role; words that
+only tell of the layout do not count, and doubtful ones only for short text or many links) leaves GAP
 empty lines in its place, and so does the edge of an article or main element. Then the text
 lengths of WINDOW consecutive lines are summed at every line. A surge is where that sum rises from
 nothing, a dive is where it falls back to nothing; the text between a surge and its dive is a
@@ -50,7 +51,22 @@ MARKS = frozenset(
     "respond search share sharing sidebar signup site-footer site-header skip social sponsor sponsored subscribe toolbar widget contentinfo complementary".split()
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+#: Marks that hold for text of any length; the others are doubtful.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus footer gdpr menubar nav "
+    "navbar navigation newsletter pagination respond sidebar signup site-footer site-header skip social sponsor sponsored subscribe toolbar contentinfo complementary".split()
+)
+#: Parts of a word that tell of a page's layout, not of an element's own text.
+LAYOUT = frozenset("no has have with without is not hide show".split())
+#: Parts of a word that name the main text.
+OWN = frozenset("content main page body article post entry".split())
+#: Parts that may follow a mark.
+PLACES = frozenset("area bar block box button buttons container content group inner item items left link links list panel posts right row section slot top bottom unit widget wrap wrapper".split())
+#: Characters of an element with a doubtful mark from which it is main text, if no more than LOOSE of them are in links.
+LONG = 200
+LOOSE = 0.3
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
 EMPTY = re.compile(r"(?:\A|[\s\"'])/\Z")
 #: Elements whose end tag may be left out, and what closes them: the element started, those it ends, those that bound the search.
@@ -161,19 +177,46 @@ def tree(html: str) -> list[tuple[str, Element | str]]:
     return out
 
 
-def _boilerplate(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element holds no main text; a header counts only outside an article."""
-    if name in SKIPPED or name == "header" and not inside:
+def _mark(word: str) -> str:
+    """'strong' or 'doubtful' where a word of class, id or role marks boilerplate, else ''."""
+    if word in MARKS:
+        return "strong" if word in STRONG else "doubtful"
+    parts = [x for x in re.split(r"[-_]+", word) if x]
+    if len(parts) < 2 or not LAYOUT.isdisjoint(parts):
+        return ""
+    if parts[-1] in MARKS:
+        return "strong" if parts[-1] in STRONG and (OWN.isdisjoint(parts[:-1]) or parts[-1] in ("ad", "ads", "comment", "comments")) else "doubtful"
+    if parts[0] in MARKS and all(x in PLACES or x in MARKS or x.isdigit() for x in parts[1:]):
+        return "strong" if parts[0] in STRONG and OWN.isdisjoint(parts[1:]) else "doubtful"
+    return ""
+
+
+def _boilerplate(e: Element, inside: bool) -> bool:
+    """Whether an element holds no main text; a header counts only outside an article.
+
+    A mark does not drop headings in an article, nor what contains an article or main element, unless it
+    is hidden or has the comments. A doubtful mark does not drop long text with few links.
+    """
+    name = e.name
+    if name == "form" and e.content:
+        return False
+    if name in SKIPPED or name == "header" and not inside and not e.content:
         return True
-    if name in CONTENT or name in ("body", "html") or not attributes:
+    if name in CONTENT or name in ("body", "html") or not e.attributes:
         return False
-    for key, value in ATTRIBUTE.findall(attributes):
+    for key, value in ATTRIBUTE.findall(e.attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
         if key in ("class", "id", "role"):
             for word in value.split():
-                if word in MARKS or not MARKS.isdisjoint(re.split(r"[-_]+", word)):
+                if not (mark := _mark(word)):
+                    continue
+                if inside and (name in HEADINGS or word.endswith("header")):
+                    continue
+                if e.content and word not in ("comments", "comment", "disqus", "respond"):
+                    continue
+                if mark == "strong" or e.size < LONG or e.links > LOOSE * e.size:
                     return True
     return False
 
@@ -212,7 +255,7 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
                     skipping = None
                     gap()
                 continue
-        if opening and e.name not in VOID and _boilerplate(e.name, e.attributes, content > 0):
+        if opening and e.name not in VOID and _boilerplate(e, content > 0):
             skipping = e
             flush()
             continue

@@ -289,3 +289,19 @@ def test_links_of_a_dense_group_of_near_copies_are_all_found(spark):
 ])
 def test_html_elements_without_an_end_tag(html, want):
     assert html_text.main_text(html) == want
+
+
+@pytest.mark.parametrize("html, want", [
+    ('<div class="wrapper no-sidebar"><article><p>Body one.</article></div>', "Body one."),
+    ('<div class="has-comments"><p>Body one.</div>', "Body one."),
+    ('<article><div class="entry-header"><h1>Title</h1></div><h2 class="section-header">Part</h2><p>Body one.</article>', "Title\n\nPart\n\nBody one."),
+    ('<article><div class="related-work"><p>Body one.</div><div class="search-results"><p>Body two.</div></article>', "Body one.\n\nBody two."),
+    ('<div title="the hidden city" data-x="class=ad"><p>Body one.</div>', "Body one."),
+    ('<div class="sidebar"><main><p>Body one.</main></div>', "Body one."),
+    ('<form id=aspnetForm><main><p>Body one.</main></form>', "Body one."),
+    ('<article><div class="notice"><p>' + "Long text. " * 30 + '</div><div class="notice">Short</div></article>', ("Long text. " * 30).strip()),
+    ('<article><p>Body one.</article><div class="comments"><article><p>Comment.</article></div><div class="left-sidebar">s</div>', "Body one."),
+    ('<article><p>Body one.<div class="ad-box">Buy</div><div class="user-comments">c</div><div style="display: none">x</div><div hidden>y</div></article>', "Body one."),
+])
+def test_html_marks_drop_no_main_text(html, want):
+    assert html_text.main_text(html) == want
