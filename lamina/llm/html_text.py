@@ -3,12 +3,15 @@
 Markup is stripped into lines: a block element starts a line, a boilerplate container (navigation,
 footer, form, advert, comment section and the like, by element or by class, id or role; words that
 only tell of the layout do not count, and doubtful ones only for short text or many links) leaves GAP
-empty lines in its place, and so does the edge of an article or main element. Then the text
-lengths of WINDOW consecutive lines are summed at every line. A surge is where that sum rises from
-nothing, a dive is where it falls back to nothing; the text between a surge and its dive is a
-passage. In a page with an article or main element the passages inside it are kept, in any other
-page those whose text is mostly not links, from the first to the last one that has at least
-SHARE of the largest passage's text.
+empty lines in its place, and so does the edge of an article or main element. Then the
+characters outside links of WINDOW consecutive lines are summed at every line. A dive is where that sum
+falls below SHARE of the page's largest and most of the window is links, a surge is where text begins
+again: lines mostly of links in between are dropped, inside an article or main element only where the
+whole window is such lines. In a page with such an element the other lines inside it are kept; the
+element, not a sum, says where its text begins. In any other page the lines between dives and gaps are
+passages; kept are those whose text is mostly not links, from the first to the last one whose largest sum
+reaches SHARE of the page's largest, and shorter ones with a sentence's end that only a gap parts from
+these.
 
 Inside a block each run of white space is one space; blocks are joined by two line feeds in page
 order. Character references are decoded after tags are removed. Defined results: null html gives
@@ -34,6 +37,7 @@ WINDOW = 3
 GAP = 3
 SHARE = 0.1
 LINKS = 0.5
+SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"'\u201d\u2019\u00bb)\]]*\Z")
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea title select xmp noembed noframes".split())
@@ -274,28 +278,60 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def _sums(sizes: list[int]) -> list[int]:
+    """Sums of WINDOW lines, from the one that holds only the first line to the one that holds only the last."""
+    return [sum(sizes[max(0, i) : i + WINDOW]) for i in range(1 - WINDOW, len(sizes))]
+
+
+def _sunk(page: list[tuple[str, int, bool]]) -> list[bool]:
+    """Lines mostly of links, in a window where text outside links falls below SHARE of the page's peak."""
+    size = [len(t) for t, _, _ in page]
+    plain = [max(0, n - k) for n, (_, k, _) in zip(size, page, strict=True)]
+    linked = [bool(n) and p <= (1 - LINKS) * n for n, p in zip(size, plain, strict=True)]
+    sums, out = _sums(plain), [False] * len(page)
+    low = SHARE * max(sums)
+    for i, (p, n) in enumerate(zip(sums, _sums(size), strict=True), 1 - WINDOW):
+        if p < low and p <= (1 - LINKS) * n:
+            window = range(max(0, i), min(len(page), i + WINDOW))
+            # a linked heading or a link or two in an article are its own text
+            run = len(window) == WINDOW and all(linked[j] for j in window)
+            for j in window:
+                out[j] |= linked[j] and (run or not page[j][2])
+    return out
+
+
 def main_text(html: str | None) -> str:
     page = lines(html or "")
     if not page:
         return ""
-    sizes = [len(t) for t, _, _ in page]
-    sums = [sum(sizes[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(sizes))]  # of the WINDOW lines that end at i
-    passages, start = [], None
-    for i, total in enumerate([*sums, 0]):
-        if total and start is None:
-            start = i  # surge
-        elif not total and start is not None:
-            passages.append([x for x in page[start:i] if x[0]])  # dive
-            start = None
-    if any(x[2] for p in passages for x in p):
-        kept = [x for p in passages for x in p if x[2]]
+    sunk = _sunk(page)
+    if any(x[2] for x in page):
+        own = [(x, s) for x, s in zip(page, sunk, strict=True) if x[2]]
+        kept = [x for x, s in own if not s] or [x for x, _ in own]
     else:
-        mass = [sum(len(t) for t, _, _ in p) for p in passages]
-        good = [m if sum(k for _, k, _ in p) < LINKS * m else 0 for p, m in zip(passages, mass, strict=True)]
-        if not any(good):
+        passages, beside, new = [], [], True  # and whether only a gap parts a passage from the one before
+        links_between = True
+        for x, s in zip(page, sunk, strict=True):
+            if x[0] and not s:
+                if new:
+                    passages.append([])
+                    beside.append(not links_between)
+                passages[-1].append(x)
+                new = links_between = False
+            else:
+                new = True
+                links_between |= s
+        peak = [max(_sums([max(0, len(t) - k) for t, k, _ in p])) if sum(k for _, k, _ in p) < LINKS * sum(len(t) for t, _, _ in p) else 0 for p in passages]
+        if not any(peak):
             return ""
-        strong = [i for i, m in enumerate(good) if m >= SHARE * max(good)]
-        kept = [x for i in range(strong[0], strong[-1] + 1) if good[i] for x in passages[i]]
+        strong = [i for i, m in enumerate(peak) if m >= SHARE * max(peak)]
+        first, last = strong[0], strong[-1]
+        prose = [m > 0 and any(SENTENCE.search(t) for t, _, _ in p) for m, p in zip(peak, passages, strict=True)]
+        while first and beside[first] and prose[first - 1]:
+            first -= 1
+        while last + 1 < len(passages) and beside[last + 1] and prose[last + 1]:
+            last += 1
+        kept = [x for i in range(first, last + 1) if peak[i] for x in passages[i]]
     return "\n\n".join(t for t, _, _ in kept)
 
 

@@ -305,3 +305,17 @@ def test_html_elements_without_an_end_tag(html, want):
 ])
 def test_html_marks_drop_no_main_text(html, want):
     assert html_text.main_text(html) == want
+
+
+LONG_PARAGRAPHS = ["Long main text that goes on and on. " * 12 + f"Part {i}." for i in range(8)]
+
+
+@pytest.mark.parametrize("before, after, want", [
+    ("<ul>" + "".join(f"<li><a href={i}>Menu entry {i}</a></li>" for i in range(9)) + "</ul>", "", LONG_PARAGRAPHS),  # an unmarked menu
+    ("<p>Short opening.</p><div class=ad>Buy</div>", "<div class=ad>Buy</div><p>Short end.</p>", ["Short opening.", *LONG_PARAGRAPHS, "Short end."]),
+    ("<div>My site</div><nav>n</nav>", "<footer>f</footer><div>Imprint</div>", LONG_PARAGRAPHS),
+    ("<article><h1><a href=x>Title</a></h1><p><a href=y>Author</a></p>", "<ul>" + "<li><a href=z>Another story of ours</a></li>" * 5 + "</ul></article>", ["Title", "Author", *LONG_PARAGRAPHS]),
+    ("<article><ul><li>Yes<li>No<li>Or <a href=x>so</a> it is</ul>", "<p>End</p></article>", ["Yes", "No", "Or so it is", *LONG_PARAGRAPHS, "End"]),
+])
+def test_html_surges_and_dives(before, after, want):
+    assert html_text.main_text(before + "".join(f"<p>{t}</p>" for t in LONG_PARAGRAPHS) + after) == "\n\n".join(want)
