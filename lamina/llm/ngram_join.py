@@ -358,17 +358,27 @@ def matrix(nodes: DataFrame, percent: int, ranges: int) -> DataFrame:
     return rows.groupBy("range").applyInArrow(look_up, "q long, mq long, grp long, shared long, lo long, hi long")
 
 
+def need_least(percent: int) -> str:
+    """SQL for a lower bound of the shared leading shingles that a query of mq needs with a set of any k in [lo, hi].
+
+    a(k) - ceil(t m) rises with k up to m, and a(k) - ceil(t k) falls from there on but for rounding, which
+    can raise or lower it by one between any two k. So the least of the ends less one holds for all k, and
+    the ends themselves where they are the only ones.
+    """
+    need = lambda k: f"(({percent} * (mq + {k}) + {99 + percent}) div {100 + percent}) - greatest(({percent} * mq + 99) div 100, ({percent} * {k} + 99) div 100) + 1"
+    return f"(least({need('lo')}, {need('hi')}) - if(hi - lo > 1, 1, 0))"
+
+
 def within_bound(found: DataFrame, percent: int) -> DataFrame:
     """q, grp whose shared leading shingles allow some member of the group to reach the threshold.
 
     For sets of m and k shingles the overlap must reach a = ceil(t (m + k) / (1 + t)); it is at most the
-    shared leading shingles plus max(ceil(t m), ceil(t k)) - 1. The gap between both is least for the
-    least or the largest k.
+    shared leading shingles plus max(ceil(t m), ceil(t k)) - 1. The gap between both, without rounding, is
+    least for the least or the largest k; with it, need_least() takes a bound below that of every k.
     """
-    need = lambda k: f"(({percent} * (mq + {k}) + {99 + percent}) div {100 + percent}) - greatest(({percent} * mq + 99) div 100, ({percent} * {k} + 99) div 100) + 1"
     total = found.groupBy("q", "grp").agg(F.first("mq").alias("mq"), F.sum("shared").alias("shared"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     total = total.withColumn("lo", F.expr(f"greatest(lo, ({percent} * mq + 99) div 100)")).withColumn("hi", F.expr(f"least(hi, 100 * mq div {percent})"))
-    return total.where(F.expr(f"shared >= least({need('lo')}, {need('hi')})")).select("q", "grp")
+    return total.where(F.expr(f"shared >= {need_least(percent)}")).select("q", "grp")
 
 
 def open_queries(rows: DataFrame, percent: int) -> DataFrame:

@@ -319,3 +319,15 @@ LONG_PARAGRAPHS = ["Long main text that goes on and on. " * 12 + f"Part {i}." fo
 ])
 def test_html_surges_and_dives(before, after, want):
     assert html_text.main_text(before + "".join(f"<p>{t}</p>" for t in LONG_PARAGRAPHS) + after) == "\n\n".join(want)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_ngram_bound_opens_what_any_size_in_the_range_needs(spark, percent):
+    rows = []
+    for m in range(1, 61):
+        sizes = range((percent * m + 99) // 100, 100 * m // percent + 1)
+        # the overlap that the threshold asks for, less what may be shared outside the leading shingles
+        need = {k: -(-percent * (m + k) // (100 + percent)) - max(-(-percent * m // 100), -(-percent * k // 100)) + 1 for k in sizes}
+        rows += [(m, m, 1000 * lo + hi, max(0, min(need[k] for k in range(lo, hi + 1))), lo, hi) for lo in sizes for hi in sizes if lo <= hi]
+    found = spark.createDataFrame(rows, "q long, mq long, grp long, shared long, lo long, hi long")
+    assert ngram_join.within_bound(found, percent).count() == len(rows)
