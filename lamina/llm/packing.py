@@ -58,8 +58,8 @@ class Encoder:
     """Token ids as little-endian bytes, by the vocabulary of a tokenizers file.
 
     The merges run in tiktoken on the file's vocabulary, whose ids are its merge ranks; the ids are those
-    of the tokenizers library (tests compare them). A text that spells out a special token goes to that
-    library itself.
+    of the tokenizers library with encode_special_tokens set (tests compare them): a special token that a
+    text spells out is plain text, and never becomes the special token's own id.
     """
 
     def __init__(self, path: str):
