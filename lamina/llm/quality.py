@@ -3,9 +3,10 @@
 A document's UTF-8 bytes are cut into overlapping chunks that cover all of it. Each byte becomes a
 learned vector, joined by one channel that marks bytes inside a passage repeated at a short lag
 (a fixed feature, as a filter of a few bytes cannot compare arbitrary words). Learned filters slide
-over a chunk, go through a rectifier and are max-pooled over short stretches; stretches are
-averaged over the document, and the maximum over all stretches is taken as well. A logistic layer
-combines both into one probability. Training is by Adam on the logistic loss.
+over a chunk in steps of STRIDE bytes, so a passage can give other features at an odd than at an even
+place; a text is padded by spaces to whole steps. They go through a rectifier and are max-pooled over
+short stretches; stretches are averaged over the document, and the maximum over all stretches is taken
+as well. A logistic layer combines both into one probability. Training is by Adam on the logistic loss.
 
 Fitting takes a bounded sample: at most TRAIN_DOCS labelled documents, those with the least hash of
 doc_id, and of each at most TRAIN_STRETCHES stretches from evenly spaced places. Scoring reads every
@@ -84,9 +85,8 @@ class Network:
     def pooled(self, raw: bytes) -> np.ndarray:
         """A row of pooled filters for each stretch of one chunk."""
         b = np.frombuffer(raw, np.uint8)
-        if len(b) < WIDTH:
-            b = np.concatenate([b, np.full(WIDTH - len(b), 32, np.uint8)])
-        b = b[: len(b) // STRIDE * STRIDE]
+        if short := max(WIDTH - len(b), -len(b) % STRIDE):
+            b = np.concatenate([b, np.full(short, 32, np.uint8)])
         pair, mark = self.tables()
         x = pair.take(np.ascontiguousarray(b).view("<u2"), 0)
         again = repeats(b)

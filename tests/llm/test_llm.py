@@ -331,3 +331,10 @@ def test_ngram_bound_opens_what_any_size_in_the_range_needs(spark, percent):
         rows += [(m, m, 1000 * lo + hi, max(0, min(need[k] for k in range(lo, hi + 1))), lo, hi) for lo in sizes for hi in sizes if lo <= hi]
     found = spark.createDataFrame(rows, "q long, mq long, grp long, shared long, lo long, hi long")
     assert ngram_join.within_bound(found, percent).count() == len(rows)
+
+
+def test_quality_reads_the_last_byte_of_an_odd_text():
+    net = quality.Network(np.random.default_rng(1))
+    a, b = (net.pooled(b"some text" * 5 + end) for end in (b"xx", b"xy"))
+    assert len(b"some text" * 5 + b"xx") % 2 == 1 and (a != b).any()
+    assert (net.pooled(b"some text" * 5 + b"x ") == net.pooled(b"some text" * 5 + b"x  ")).all()
