@@ -44,6 +44,8 @@ THRESHOLD = {"hex": 3.0, "mixed": 3.6}
 NLOGN = [round(n * math.log2(n) * 1e6) if n else 0 for n in range(WINDOW + 1)]
 #: A window's sum of NLOGN is at most this where its entropy reaches the class's threshold.
 MOST = {k: math.floor((math.log2(WINDOW) - h) * WINDOW * 1e6) for k, h in THRESHOLD.items()}
+#: The character that stands for a count of 0.
+ZERO = 65
 #: Cheap conditions without which a kind has no span.
 WORD = "(?:" + "|".join(_either_case(w) for w in KEYWORDS) + ")"
 RUN = "[0-9a-f]{32}"
@@ -51,23 +53,39 @@ LETTER_AND_DIGIT = "[0-9][+/_=-]*[A-Za-z]|[A-Za-z][+/_=-]*[0-9]"
 
 
 def least_sum(s) -> F.Column:
-    """The least sum of n*log2(n) over all windows of s, by incremental counts; null below WINDOW characters."""
-    table, alphabet = F.array(*[F.lit(v).cast("long") for v in NLOGN]), F.lit(ALPHABET)
-    count = lambda c, at: F.when(at > 0, F.element_at(c, F.greatest(at, F.lit(1)))).otherwise(F.lit(0))
-    term = lambda n: F.element_at(table, n + 1)
-
-    def step(acc, i):
-        enters = F.instr(alphabet, F.substring(s, i, F.lit(1)))
-        leaves = F.when(i > WINDOW, F.instr(alphabet, F.substring(s, i - WINDOW, F.lit(1)))).otherwise(F.lit(0))
-        more, less = count(acc["c"], enters), count(acc["c"], leaves)
-        changed = enters != leaves
-        total = acc["sum"] + F.when(changed & (enters > 0), term(more + 1) - term(more)).otherwise(F.lit(0)) + F.when(
-            changed & (leaves > 0), term(F.greatest(less - 1, F.lit(0))) - term(less)).otherwise(F.lit(0))
-        counts = F.transform(acc["c"], lambda n, j: n + F.when(changed & (j + 1 == enters), 1).when(changed & (j + 1 == leaves), -1).otherwise(0))
+    """The least sum of n*log2(n) over all windows of s, by incremental counts; null below WINDOW characters.
+
+    The candidate is split once into the numbers of its characters. The counts are a string with a
+    character for each of ALPHABET, of which a step overlays the two that change, so a step costs the
+    same at any place of a candidate of any length.
+    """
+    rise = F.array(*[F.lit(b - a).cast("long") for a, b in zip(NLOGN, NLOGN[1:])])
+    number = lambda counts, at: F.ascii(F.substring(counts, at, F.lit(1))) - ZERO
+    digit = lambda n: F.char(n + ZERO)
+
+    def step(at):
+        def run(acc, i):
+            enters = F.element_at(at, i)
+            leaves = F.when(i > WINDOW, F.element_at(at, F.greatest(i - WINDOW, F.lit(1)))).otherwise(F.lit(0))
+            # bound once: what the window has of both characters before the step
+            had = F.struct(enters.alias("e"), leaves.alias("l"), number(acc["c"], enters).alias("more"),
+                           F.when(leaves > 0, number(acc["c"], leaves)).otherwise(F.lit(0)).alias("less"))
+            return F.element_at(F.transform(F.array(had), lambda h: moved(acc, i, h)), 1)
+
+        return run
+
+    def moved(acc, i, h):
+        more = F.overlay(acc["c"], digit(h["more"] + 1), h["e"], F.lit(1))
+        counts = F.when(h["l"] == 0, more).when(h["l"] == h["e"], acc["c"]).otherwise(F.overlay(more, digit(h["less"] - 1), h["l"], F.lit(1)))
+        total = F.when(h["l"] == h["e"], acc["sum"]).otherwise(
+            acc["sum"] + F.element_at(rise, h["more"] + 1) - F.when(h["l"] > 0, F.element_at(rise, F.greatest(h["less"], F.lit(1)))).otherwise(F.lit(0)))
         return F.struct(counts.alias("c"), total.alias("sum"), F.when(i >= WINDOW, F.least(acc["low"], total)).otherwise(acc["low"]).alias("low"))
 
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("c"), F.lit(0).cast("long").alias("sum"), F.lit(1 << 60).cast("long").alias("low"))
-    return F.when(F.length(s) >= WINDOW, F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step, lambda acc: acc["low"]))
+    start = F.struct(F.lit(chr(ZERO) * len(ALPHABET)).alias("c"), F.lit(0).cast("long").alias("sum"), F.lit(1 << 60).cast("long").alias("low"))
+    places = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    # an array of one, so that the numbers are computed once and not at each step
+    slid = F.transform(F.array(places), lambda at: F.aggregate(F.sequence(F.lit(1), F.size(at)), start, step(at), lambda acc: acc["low"]))
+    return F.when(F.length(s) >= WINDOW, F.element_at(slid, 1))
 
 
 def is_entropy_secret(s) -> F.Column:
