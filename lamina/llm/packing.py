@@ -14,13 +14,18 @@ Each partition is packed as it streams by, so nothing is shuffled and memory hol
 sequence_id is the partition's number times 2^33 plus a count, unique and the same when a lost
 task runs again.
 
-Defined results: a null or empty text is the single id 0 that ends each document. Null doc_ids and
-repeated rows are packed as any other row. Columns besides doc_id and text are ignored. An empty
+All tokens of a text bear loss unless loss_from says where its response starts, so for plain documents
+the loss limit is the token limit; in a table of instructions all three can bind.
+
+Defined results: a null or empty text is the single id 0 that ends each document. A text that spells
+out a special token of the vocabulary has that token's id there, as the tokenizers library gives it.
+Null doc_ids and repeated rows are packed as any other row. Columns besides doc_id and text are ignored. An empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -58,8 +63,8 @@ class Encoder:
     """Token ids as little-endian bytes, by the vocabulary of a tokenizers file.
 
     The merges run in tiktoken on the file's vocabulary, whose ids are its merge ranks; the ids are those
-    of the tokenizers library with encode_special_tokens set (tests compare them): a special token that a
-    text spells out is plain text, and never becomes the special token's own id.
+    of the tokenizers library without added special tokens (tests compare them). A text that spells out a
+    special token goes to that library itself, which gives the token's own id.
     """
 
     def __init__(self, path: str):
@@ -70,6 +75,9 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         special = {t["content"] for t in model["added_tokens"]}
+        self.path, self.library = path, None
+        self.special = "|".join(re.escape(t) for t in sorted(special))
+        self.spells = re.compile(self.special) if special else None
         to_byte = byte_of()
         ranks = {bytes(to_byte[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
         self.model = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -77,6 +85,12 @@ class Encoder:
         self.after_space[[i for t, i in ranks.items() if t[:1] == b" "]] = True
 
     def encode(self, text: str) -> bytes:
+        if self.spells and self.spells.search(text):
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path)
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.model.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
     def portion(self, texts: pa.Array) -> list[bytes]:
@@ -84,7 +98,8 @@ class Encoder:
 
         In byte-level BPE a single space between other characters always starts a token of its own word,
         and only there does a token start with a space. So the distinct words are encoded as one text and
-        parted at those tokens. A text with other white space next to a space is encoded whole.
+        parted at those tokens. A text with other white space next to a space, or with a special token, is
+        encoded whole.
         """
         words = pc.split_pattern(texts, " ")
         bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
@@ -96,6 +111,8 @@ class Encoder:
         starts, sizes = np.zeros(len(odd), np.int64), np.zeros(len(odd), np.int64)
         starts[~odd], sizes[~odd] = first, np.diff(np.append(first, len(table)))
         whole = np.logical_or.reduceat(odd[codes], bounds[:-1])
+        if self.spells:
+            whole |= pc.match_substring_regex(texts, self.special).to_numpy(zero_copy_only=False)
         # the first word has no space before it
         n = sizes[codes]
         n[bounds[:-1]] = 0

@@ -118,7 +118,6 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(tokenizer_path())
-    reference.encode_special_tokens = True
     rows = [(i, t) for i, t in corpus(30) if i not in (1003, None)] + [(2000, "it's  x\n\n y <|endoftext|> é日本 😀"), (2001, " lead"), (2002, "trail "), (2003, "123 !!! ''' a's")]
     got = packing.pack(documents(spark, rows), tokenizer_path()).collect()
     ids = {i: [*reference.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows}
@@ -139,14 +138,39 @@ def test_portions_of_words_match_the_tokenizers_library():
     from tokenizers import Tokenizer
 
     texts = [None, "", " ", "  a", "a  b", "a b ", "\n", "a\nb c", "a \nb", "it's 's don't", "\xe9 \u6f22\u5b57 \u3000x", "a\u00a0 b", "x" * 200 + " y",
-             "<|endoftext|> a b", "word " * 3, "a\x1c b", "12 345 6,7", "\U0001f600 ok \u0301z"]
+             "<|endoftext|> a b", "a<|endoftext|>  <|endoftext|>b c", "a <|endoftext| b", "word " * 3, "a\x1c b", "12 345 6,7", "\U0001f600 ok \u0301z"]
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
     got = [np.frombuffer(x, "<u4").tolist() for x in packing.encoder(tokenizer_path()).encode_all(pa.array(texts))]
     assert got == want
 
 
+def test_packing_limits_of_a_table(spark):
+    """Instructions of two turns: segments and loss-bearing tokens are limited beside tokens, and each limit is reached."""
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(tokenizer_path()), random.Random(9)
+    rows = []
+    for i in range(400):
+        prompt, answer = ("".join(f"w{rng.randrange(99)} " for _ in range(rng.randrange(1, top))) for top in ((3, 3), (90, 6), (9, 60), (300, 300))[i % 4])
+        rows.append((i, prompt + answer, len(prompt)))
+    docs = spark.createDataFrame([*rows, (400, None, 0), (401, "", None)], "doc_id long, text string, answer_at int").repartition(1)
+    got = packing.pack(docs, tokenizer_path(), 256, 6, 120, "answer_at").collect()
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    before = {i: count(t[:k]) for i, t, k in rows} | {400: 0, 401: 0}
+    total = {i: before[i] + count(t[k:]) + 1 for i, t, k in rows} | {400: 1, 401: 1}
+    assert {r.doc_id: r.doc_tokens for r in got} == total
+    at, tokens, segments, loss = Counter(), Counter(), Counter(), Counter()
+    for r in sorted(got, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == at[r.doc_id]
+        at[r.doc_id] += r.length
+        tokens[r.sequence_id] += r.length
+        segments[r.sequence_id] += 1
+        loss[r.sequence_id] += max(0, r.start + r.length - max(r.start, before[r.doc_id]))
+    assert at == total and max(tokens.values()) == 256 and max(segments.values()) == 6 and max(loss.values()) == 120
+    assert any(n == 6 and tokens[s] < 256 and loss[s] < 120 for s, n in segments.items()) and any(n == 120 and tokens[s] < 256 for s, n in loss.items())
+
+
 def test_packing_limits():
     out = []
     packer = packing.Packer(out.append, 64, 4, 30)
