@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lamina.llm import embedding_dedup, exact_dedup, html_text, mixing, ngram_join, packing, quality, secrets, sharding, warc
 
@@ -21,7 +22,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every showing of every document: doc_id, source, tokens, epoch, weight, block_id, block_order."""
-    return mixing.mixture(_table(spark, sf_dir, "documents")).drop("rid")
+    return mixing.mixture(_table(spark, sf_dir, "documents")).drop("copy", "digest").withColumn("weight", F.round("weight", 9))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +69,28 @@ QUERIES = {f.__name__: f for f in (
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+OP1_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, substr(sha256(coalesce(text, '')), 1, 32) AS digest, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens FROM documents
+), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, digest) - 1 AS copy FROM d
+), t AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS total FROM r GROUP BY source
+), m AS (SELECT CAST(max(total) AS DOUBLE) AS high, CAST(min(total) FILTER (total > 0) AS DOUBLE) AS low FROM t
+), b(i, low, high) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL SELECT i + 1, CASE WHEN fits THEN low ELSE mid END, CASE WHEN fits THEN mid ELSE high END
+  FROM (SELECT i, b.low, b.high, (b.low + b.high) / 2 AS mid, pow(m.high / m.low, 1 - (b.low + b.high) / 2) <= {mixing.REPEAT_LIMIT} AS fits FROM b, m WHERE i < {mixing.STEPS})
+), a AS (SELECT CASE WHEN m.high / m.low <= {mixing.REPEAT_LIMIT} THEN CASE WHEN m.high = m.low THEN 1 ELSE 0 END ELSE b.high END AS a, m.high AS top FROM b, m WHERE i = {mixing.STEPS}
+), w AS (SELECT source, total, CASE WHEN total > 0 THEN pow(total / top, a) ELSE 0 END AS share, CASE WHEN total > 0 THEN greatest(total, CAST(round(pow(top / total, 1 - a) * total) AS BIGINT)) ELSE 0 END AS budget FROM t, a
+), p AS (SELECT source AS s, total, budget, share / sum(share) OVER () AS weight FROM w
+), e AS (
+  SELECT *, unnest(range(0, CASE WHEN tokens > 0 THEN CAST(ceil(budget / total) AS BIGINT) ELSE 1 END)) AS epoch FROM r JOIN p ON s IS NOT DISTINCT FROM source
+), k AS (SELECT *, sha256(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), digest, copy, epoch, '{mixing.SEED}')) AS key FROM e
+), o AS (SELECT *, epoch * total + sum(tokens) OVER (PARTITION BY source, epoch ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - tokens AS start FROM k)
+SELECT doc_id, source, tokens, CAST(epoch AS INTEGER) AS epoch, round(weight, 9) AS weight,
+  CASE WHEN weight > 0 THEN CAST(floor(start / greatest(weight * {float(mixing.BLOCK_TOKENS)}, 1)) AS BIGINT) ELSE 0 END AS block_id, substr(key, 33, 16) AS block_order
+FROM o WHERE epoch = 0 OR start < budget
+"""
+
 OP2_SQL = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -156,6 +179,6 @@ FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
 ORACLE_SQL = {
-    "op2_ngram_join": OP2_SQL, "op3_extendible_sharding": OP3_SQL, "op4_exact_dedup": OP4_SQL,
+    "op1_temperature_mixing": OP1_SQL, "op2_ngram_join": OP2_SQL, "op3_extendible_sharding": OP3_SQL, "op4_exact_dedup": OP4_SQL,
     "op5_warc_normaliser": OP5_SQL, "op9_secret_scan": _op9_sql(), "op10_embedding_dedup": OP10_SQL,
 }
