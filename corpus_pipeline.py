@@ -21,7 +21,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of equal texts."""
-    dropped = exact_dedup.exact_dedup(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    # written before it is summed: a join right below an aggregate cannot be split where a digest is hot
+    found = stored(exact_dedup.exact_dedup(docs).select("doc_id", "text_sha256", "kept"), "decisions")
+    dropped = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
     dropped = dropped.where("not kept or rows > 1").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"), "kept")
     marked = docs.withColumn("digest_", exact_dedup.text_digest(F.col("text")))
     joined = marked.join(dropped.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest_") == F.col("digest")), "left")
@@ -38,12 +40,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, those of small sources up to twice, in the order of mixture blocks."""
-    shown = mixing.mixture(docs).where("doc_id is not null").select(F.col("doc_id").alias("id"), "epoch", "block_id", "block_order")
-    places = shown.groupBy("id", "epoch").agg(F.min(F.struct("block_id", "block_order")).alias("place"))
-    places = places.groupBy("id").agg(F.collect_list("place").alias("places"))
-    once = F.array(F.struct(F.lit(0).cast("long").alias("block_id"), F.lit(0).cast("long").alias("block_order")))
-    rows = docs.join(places.hint("merge"), F.col("doc_id") == F.col("id"), "left").select(*docs.columns, F.explode(F.coalesce("places", once)).alias("place_"))
+    """Every document at least once, those of small sources up to twice, in the order of mixture blocks.
+
+    Equal rows are shown alike, at the places of the first of them.
+    """
+    places = mixing.mixture(docs).where("copy = 0").groupBy("doc_id", "source", "digest").agg(F.collect_list(F.struct("block_id", "block_order")).alias("places_"))
+    names = {"doc_id": "id_", "source": "from_", "digest": "digest_"}
+    same = F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("from_")) & (mixing.text_key(F.col("text")) == F.col("digest_"))
+    rows = docs.join(places.withColumnsRenamed(names).hint("merge"), same).select(*docs.columns, F.explode("places_").alias("place_"))
     order = [F.col("place_.block_id"), F.col("place_.block_order")]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(docs.columns)
