@@ -56,9 +56,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), component the least node.
 
     Alternates two contractions, one towards the least neighbour of each node and one among
-    the smaller neighbours. Both use a minimum per node (combined before the shuffle) and a
-    join that adaptive execution may split, so a hub never sits in one task. Each round is a
-    written table. Nodes without edges do not occur in the result. Null ends are ignored.
+    the smaller neighbours. Both use a minimum per node (combined before the shuffle), which is
+    written, and a join of two stored tables: no aggregate stands between the join and its exchange,
+    so adaptive execution can split the rows of a hub over tasks. Nodes without edges do not occur in
+    the result. Null ends are ignored.
     """
     spark = edges.sparkSession
     links = stored(
@@ -69,13 +70,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     state = None
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("x"), "a", "m")
-        small = small.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        links, before = stored(small, "links"), links
-        remove_table(before)
+        low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = both.where("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = stored(large, "large")
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = large.join(least.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        before = [links, low, large, least]
+        links = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        for table in before:
+            remove_table(table)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
