@@ -40,35 +40,43 @@ class DigestIndex:
         self.spark, self.path, self.buckets = spark, path, buckets
         self.table = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} (keep_id BIGINT, group_size BIGINT, text_sha256 STRING) "
+            f"CREATE TABLE IF NOT EXISTS {self.table} (keep_id BIGINT, group_size BIGINT, batch STRING, text_sha256 STRING) "
             f"USING parquet CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def unseen(self, groups: DataFrame) -> DataFrame:
-        """The rows of groups (one per text_sha256) whose digest is not in the index."""
-        return groups.join(self.rows().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
+    def close(self) -> None:
+        """Take the table out of the session's catalogue; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
-    def add(self, docs: DataFrame) -> DataFrame:
+    def unseen(self, groups: DataFrame, batch: str = "") -> DataFrame:
+        """The rows of groups (one per text_sha256) whose digest no other batch has brought into the index."""
+        others = self.rows().where(F.lit(not batch) | (F.col("batch") != batch))
+        return groups.join(others.select("text_sha256").hint("merge"), "text_sha256", "left_anti")
+
+    def add(self, docs: DataFrame, batch: str = "") -> DataFrame:
         """Deduplicate docs(doc_id, text) against the index and within itself, append the new digests.
 
         Returns doc_id, keep_id, group_size, kept, text_sha256. For a digest from an earlier batch
         keep_id is that batch's document and no row of this batch is kept; group_size counts the
-        copies of the batch that brought the digest in.
+        copies of the batch that brought the digest in. A batch with a name can be added again after
+        a failure: digests that it brought in before count as new, and are not appended twice.
         """
-        batch = stored(docs.select("doc_id", text_digest(F.col("text")).alias("text_sha256"), F.monotonically_increasing_id().alias("rid")), "digests")
+        rows = stored(docs.select("doc_id", text_digest(F.col("text")).alias("text_sha256"), F.monotonically_increasing_id().alias("rid")), "digests")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")
-        groups = batch.groupBy("text_sha256").agg(first, F.count("*").alias("group_size")).select(
+        groups = rows.groupBy("text_sha256").agg(first, F.count("*").alias("group_size")).select(
             F.col("first.doc_id").alias("keep_id"), "group_size", "text_sha256", F.col("first.rid").alias("keep_rid"))
-        fresh = stored(self.unseen(groups).select("keep_id", "group_size", "text_sha256", "keep_rid"), "fresh")
-        seen = self.rows().select("keep_id", "group_size", "text_sha256", F.lit(None).cast("long").alias("keep_rid"))
+        fresh = stored(self.unseen(groups, batch).select("keep_id", "group_size", "text_sha256", "keep_rid"), "fresh")
+        seen = self.rows().where(F.lit(not batch) | (F.col("batch") != batch)).select("keep_id", "group_size", "text_sha256", F.lit(None).cast("long").alias("keep_rid"))
         before = stored(seen.join(groups.select("text_sha256").hint("merge"), "text_sha256", "left_semi"), "before")
-        fresh.select("keep_id", "group_size", "text_sha256").repartition(self.buckets, "text_sha256").write.insertInto(self.table)
+        new = self.unseen(fresh) if batch else fresh
+        new = new.select("keep_id", "group_size", F.lit(batch).alias("batch"), "text_sha256")
+        new.repartition(self.buckets, "text_sha256").write.insertInto(self.table)
         # One row a digest on this side and both sides shuffled, so a hot digest's rows can be split.
         stays = fresh.unionByName(before)
-        return batch.join(stays.hint("merge"), "text_sha256").select(
+        return rows.join(stays.hint("merge"), "text_sha256").select(
             "doc_id", "keep_id", "group_size",
             F.coalesce(F.col("rid") == F.col("keep_rid"), F.lit(False)).alias("kept"), "text_sha256",
         )
@@ -76,4 +84,7 @@ class DigestIndex:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) against a fresh index: doc_id, keep_id, group_size, kept, text_sha256."""
-    return DigestIndex(docs.sparkSession, fresh_path(docs.sparkSession, "digest-index")).add(docs)
+    index = DigestIndex(docs.sparkSession, fresh_path(docs.sparkSession, "digest-index"))
+    found = index.add(docs)
+    index.close()
+    return found
