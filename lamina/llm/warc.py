@@ -6,6 +6,9 @@ Content-Length, writes each record as a gzip member of its own and, beside the n
 sidecar index (one JSON line a record: offset, length, type, ids, digest). read_records() fetches
 records through the index: it seeks to each offset and inflates one member.
 
+A record's id has the page_id and the row's number, so rows that repeat a page_id, or have none, have
+records of their own, and a revisit names the very record it refers to.
+
 Files are opened with pyarrow's file systems (file, hdfs, s3, gs) on the executors, in the folder
 all of them share. A file is written under a name of the task's attempt and then renamed to a name
 that only depends on its input, so a task that runs again replaces its own output.
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.common import fresh_path, stored
@@ -37,6 +40,7 @@ from lamina.llm.common import fresh_path, stored
 MIN_REVISIT = 100
 LEVEL = 4
 PIECE = 1 << 20
+READ_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -62,26 +66,35 @@ class Output:
         self.size += len(data)
 
     def close(self) -> None:
+        from pyarrow import fs
+
         self.stream.close()
+        # not every file system replaces a file: what an earlier attempt left goes first
+        if self.fs.get_file_info(self.path).type != fs.FileType.NotFound:
+            self.fs.delete_file(self.path)
         self.fs.move(self.temporary, self.path)
 
 
-def record(page_id: int | None, url: str, kind: str, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
+def urn(page_id: int | None, rid: int) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{rid}>"
+
+
+def record(page_id: int | None, rid: int, url: str, kind: str, payload: bytes, digest: str, size: int, refers_to: str | None) -> bytes:
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {urn(page_id, rid)}", f"WARC-Date: {DATE}",
         "WARC-Target-URI: " + " ".join(url.split()), f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}",
         f"Content-Length: {len(payload)}",
     ]
     if kind == "revisit":
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+        head.append(f"WARC-Refers-To: {refers_to}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
 
 def decisions(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest, size, refers_to (null for a response) for every row.
+    """page_id, rid, url, html, digest, size, refers_to (page_id and rid of the response, null for a response) for every row.
 
-    Only digests and ids are grouped; the html is shuffled once, by digest and row, so a payload that
+    The places of the rows of pages must not change between two readings. Only digests and ids are grouped; the html is shuffled once, by digest and row, so a payload that
     many rows share is spread out. Rows without partners are not in the side that is joined to them.
     """
     html = F.coalesce("html", F.lit(""))
@@ -92,8 +105,8 @@ def decisions(pages: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "rid")).alias("first")
     groups = narrow.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1 and not first.no_id")
     # (digest, page_id) and the row's number tell apart repeated rows; they are the join's spread key
-    again = narrow.join(groups.hint("merge"), "digest").where("rid <> first.rid").select("digest", "rid", F.col("first.page_id").alias("refers_to"))
-    return rows.join(again.hint("merge"), ["digest", "rid"], "left").select("page_id", "url", "html", "digest", "size", "refers_to")
+    again = narrow.join(groups.hint("merge"), "digest").where("rid <> first.rid").select("digest", "rid", F.struct("first.page_id", "first.rid").alias("refers_to"))
+    return rows.join(again.hint("merge"), ["digest", "rid"], "left").select("page_id", "rid", "url", "html", "digest", "size", F.col("refers_to.page_id").alias("to_page"), F.col("refers_to.rid").alias("to_rid"))
 
 
 def write_monolithic(rows: DataFrame, path: str) -> DataFrame:
@@ -103,10 +116,12 @@ def write_monolithic(rows: DataFrame, path: str) -> DataFrame:
         name, n = f"{path}/part-{TaskContext.get().partitionId():05d}.warc.gz", 0
         out, gz = Output(name), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
         for batch in batches:
-            cols = [batch.column(c) for c in ("page_id", "url", "html", "digest", "size", "refers_to")]
-            for page_id, url, html, digest, size, to in zip(*cols, strict=True):
-                body = html.as_py().encode("utf-8", "surrogatepass") if not to.is_valid else b""
-                out.write(gz.compress(record(page_id.as_py(), url.as_py(), "revisit" if to.is_valid else "response", body, digest.as_py(), size.as_py(), to.as_py())))
+            cols = [batch.column(c) for c in ("page_id", "rid", "url", "html", "digest", "size", "to_page", "to_rid")]
+            for row in zip(*cols, strict=True):
+                page_id, rid, url, html, digest, size, to_page, to_rid = (x.as_py() for x in row)
+                again = to_rid is not None
+                body = b"" if again else html.encode("utf-8", "surrogatepass")
+                out.write(gz.compress(record(page_id, rid, url, "revisit" if again else "response", body, digest, size, urn(to_page, to_rid) if again else None)))
                 n += 1
         out.write(gz.flush())
         out.close()
@@ -166,8 +181,9 @@ def headers(raw: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
-def page_of(urn: str | None) -> int | None:
-    digits = (urn or "").removeprefix("<urn:page:").removesuffix(">")
+def page_of(name: str | None) -> int | None:
+    """The page_id in a record's id."""
+    digits = (name or "").removeprefix("<urn:page:").partition(":")[0]
     return int(digits) if digits else None
 
 
@@ -200,16 +216,15 @@ def normalise(archives: DataFrame, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["path", "offset", "length", "page_id"])
 
-    spread = spark.createDataFrame([(r.path,) for r in archives.select("path").collect()], "path string")
-    return stored(spread.repartition(max(1, archives_count(spark)), "path").mapInArrow(run, INDEX), "index")
-
-
-def archives_count(spark: SparkSession) -> int:
-    return 2 * spark.sparkContext.defaultParallelism
+    # a few rows of a stored table, dealt out one by one
+    return stored(archives.select("path").repartition(2 * spark.sparkContext.defaultParallelism).mapInArrow(run, INDEX), "index")
 
 
 def read_records(index: DataFrame) -> DataFrame:
-    """Fetch each record of index(path, offset, length) by its offset: RECORD, digests from the payloads themselves."""
+    """Fetch each record of index(path, offset, length) by its offset: RECORD, digests from the payloads themselves.
+
+    Tasks follow the bytes to read: each run of READ_BYTES of an archive is read in order by one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, stream = None, None
@@ -231,11 +246,19 @@ def read_records(index: DataFrame) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return index.select("path", "offset", "length").sortWithinPartitions("path", "offset").mapInArrow(run, RECORD)
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(2 * index.sparkSession.sparkContext.defaultParallelism, 2 * -(-total // READ_BYTES))
+    runs = index.select("path", "offset", "length").repartition(tasks, "path", F.floor(F.col("offset") / READ_BYTES))
+    return runs.sortWithinPartitions("path", "offset").mapInArrow(run, RECORD)
 
 
-def archive_pages(pages: DataFrame) -> DataFrame:
-    """Write pages as monolithic archives, normalise them and read every record back."""
+def archive_pages(pages: DataFrame, as_read: bool = False) -> DataFrame:
+    """Write pages as monolithic archives, normalise them and read every record back.
+
+    Rows are numbered by their place and read twice. as_read says that pages is a table as Spark reads it, whose
+    places do not change; anything else is stored first.
+    """
+    pages = pages if as_read else stored(pages.select("page_id", "url", "html"), "pages")
     base = fresh_path(pages.sparkSession, "warc")
     archives = write_monolithic(decisions(pages), base + "/whole")
     return read_records(normalise(archives, base + "/members"))
