@@ -64,44 +64,58 @@ def directory(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     return (done if done is not None else empty), (open_at if open_at is not None else empty)
 
 
-def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
-    """Returns key, shard_id (the bucket's bits, '-' for none, with '+page' for overflow), depth, shard_bytes."""
-    rows = stored(
-        docs.select(F.col(key).alias("id"), address(F.col(key)).alias("bits"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
-        .withColumn("rid", F.monotonically_increasing_id()),
-        "addresses",
-    )
+def _rows(docs: DataFrame, key: str, text: str, rid) -> DataFrame:
+    return docs.select(F.col(key).alias("id"), address(F.col(key)).alias("bits"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), rid.alias("rid"))
+
+
+def placed(rows: DataFrame, limit: int) -> DataFrame:
+    """rows(id, bits, bytes, rid) -> id, rid, shard_id, depth, shard_bytes."""
     closed, full = directory(rows, limit)
     # Every row has exactly one bucket among its prefixes; the depths in use are few.
     depths = sorted(r[0] for r in closed.select("depth").distinct().collect())
-    name = lambda prefix: F.when(prefix == "", "-").otherwise(prefix)
     at = F.array(*[F.substring("bits", 1, d) if d else F.lit("") for d in depths]) if depths else F.array().cast("array<string>")
-    placed = rows.select("id", F.explode(at).alias("prefix")).join(closed, "prefix").select(
-        F.col("id").alias(key), name(F.col("prefix")).alias("shard_id"), F.col("depth").cast("int").alias("depth"), "shard_bytes"
-    )
-    if full.isEmpty():
-        return placed
-    return placed.unionByName(_pages(rows, full, key, limit))
+    out = rows.select("id", "rid", F.explode(at).alias("prefix")).join(closed, "prefix").select(
+        "id", "rid", F.when(F.col("prefix") == "", "-").otherwise(F.col("prefix")).alias("shard_id"), F.col("depth").cast("int").alias("depth"), "shard_bytes")
+    return out if full.isEmpty() else out.unionByName(_pages(rows, full, limit))
+
 
+def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
+    """Returns key, shard_id (the bucket's bits, '-' for none, with '+page' for overflow), depth, shard_bytes.
+
+    Rows of one key share a shard, but for overflow pages; which row is on which page follows the order of the input.
+    """
+    rows = stored(_rows(docs, key, text, F.monotonically_increasing_id()), "addresses")
+    return placed(rows, limit).select(F.col("id").alias(key), "shard_id", "depth", "shard_bytes")
 
-def _pages(rows: DataFrame, full: DataFrame, key: str, limit: int) -> DataFrame:
+
+def _pages(rows: DataFrame, full: DataFrame, limit: int) -> DataFrame:
     """Overflow pages of at most half the limit plus a row; rows over half the limit are pages themselves."""
     deep = stored(rows.withColumn("prefix", F.substring("bits", 1, MAX_BITS)).join(full.select("prefix"), "prefix", "left_semi"), "overflow")
     deep = deep.withColumn("part", F.shiftright("rid", 33))
     half = limit // 2
-    big = deep.where(F.col("bytes") > half).select("id", "prefix", F.concat(F.lit("r"), F.col("rid").cast("string")).alias("page"), "bytes")
+    big = deep.where(F.col("bytes") > half).select("id", "rid", "prefix", F.concat(F.lit("r"), F.col("rid").cast("string")).alias("page"), "bytes")
     small = deep.where(F.col("bytes") <= half)
     sums = small.groupBy("prefix", "part").agg(F.sum("bytes").alias("sum"))
     before = sums.withColumn("before", F.coalesce(F.sum("sum").over(Window.partitionBy("prefix").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("sum")
     run = F.sum("bytes").over(Window.partitionBy("prefix", "part").orderBy("rid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
     paged = small.join(before, ["prefix", "part"]).withColumn("page", F.floor((run + F.col("before")) / F.lit(max(1, half))).cast("string"))
-    paged = paged.select("id", "prefix", "page", "bytes").unionByName(big)
+    paged = paged.select("id", "rid", "prefix", "page", "bytes").unionByName(big)
     sizes = paged.groupBy("prefix", "page").agg(F.sum("bytes").alias("shard_bytes"))
     return paged.drop("bytes").join(sizes, ["prefix", "page"]).select(
-        F.col("id").alias(key), F.concat_ws("+", "prefix", "page").alias("shard_id"), F.lit(MAX_BITS).alias("depth"), "shard_bytes"
+        "id", "rid", F.concat_ws("+", "prefix", "page").alias("shard_id"), F.lit(MAX_BITS).alias("depth"), "shard_bytes"
     )
 
 
-def write_shards(docs: DataFrame, plan: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write docs as one folder per shard of the plan that shard() returned for unique keys."""
-    docs.join(plan.select(key, "shard_id"), key).repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT_BYTES) -> None:
+    """Write docs, all rows and columns, as one folder per shard (shard_id=b and its bits).
+
+    The rows are written once with a number, by which shards are joined to them, so null and repeated keys stay whole.
+    """
+    number = "rid"
+    while number in docs.columns:
+        number += "_"
+    numbered = stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows = stored(_rows(numbered, key, text, F.col(number)), "addresses")
+    # a letter before the bits, or readers would take them for a number
+    plan = placed(rows, limit).select(F.col("rid").alias(number), F.concat(F.lit("b"), "shard_id").alias("shard_id"))
+    numbered.join(plan.hint("merge"), number).drop(number).repartition("shard_id").write.partitionBy("shard_id").parquet(path)
