@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lamina.llm import embedding_dedup, exact_dedup, html_text, mixing, ngram_join, packing, quality, secrets, sharding, warc
 
 TOKENIZER = "byte_bpe_50k.json"
+SHARD_BYTES = 256 << 10
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +31,8 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(_table(spark, sf_dir, "documents"))
+    """Shards of at most SHARD_BYTES, which a reader takes in one request."""
+    return sharding.shard(_table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_pages(_table(spark, sf_dir, "pages"))
+    return warc.archive_pages(_table(spark, sf_dir, "pages"), as_read=True)
 
 
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +117,7 @@ WITH a AS (
   SELECT d, substr(bits, 1, d) AS prefix, sum(bytes) AS bytes FROM (SELECT *, unnest(range(0, {sharding.MAX_BITS + 1})) AS d FROM a) GROUP BY ALL
 ), m AS (
   SELECT doc_id, min(d) AS d FROM (SELECT *, unnest(range(0, {sharding.MAX_BITS + 1})) AS d FROM a) x JOIN l USING (d)
-  WHERE l.prefix = substr(x.bits, 1, d) AND l.bytes <= {sharding.LIMIT_BYTES} GROUP BY doc_id
+  WHERE l.prefix = substr(x.bits, 1, d) AND l.bytes <= {SHARD_BYTES} GROUP BY doc_id
 )
 SELECT doc_id, CASE WHEN m.d = 0 THEN '-' ELSE substr(bits, 1, m.d) END AS shard_id, CAST(m.d AS INTEGER) AS depth, CAST(l.bytes AS BIGINT) AS shard_bytes
 FROM a JOIN m USING (doc_id) JOIN l ON l.d = m.d AND l.prefix = substr(bits, 1, m.d)
