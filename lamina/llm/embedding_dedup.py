@@ -1,21 +1,24 @@
 """Near-duplicate embeddings by sorted projection passes.
 
-Equal vectors are one class. Up to ALL_TILES tiles of BLOCK classes are compared with each other, all
-of them. Beyond that each pass draws random hyperplanes, a class's key is the signs of its
-projections, and a run of equal keys is compared pairwise whatever its size: a run of more than BLOCK
-classes is dealt into tiles, and each two tiles are one product. A pair at the threshold has equal
-keys in a pass with probability (1 - angle / pi) ^ bits; the passes are as many as make the
-probability that it is in no run at most MISS, so they grow with the number of classes, and a pair's
-chance depends on no other vector. Comparisons are in double precision. A pair is counted in the first
-pass that compares it (each row carries its keys of all passes), so nothing is emitted pair by pair:
-two tiles give the number of new links of each row and a spanning forest of them. The links of all
-passes are united by connected components.
-
-A row is copied once for each tile of its run in each pass. Runs of more than one tile are counted and
-broadcast. The comparisons in a dense group grow with the square of its size, as the links do.
+Equal vectors are one class. Each pass draws random hyperplanes, a class's key is the signs of its
+projections one after another, and classes are sorted by it. A class's window in that order is the run
+of classes with an equal key; keys have as many signs as make runs of BLOCK classes on average. A window of
+a fixed number of neighbours would lose most links of a dense group, so a run that is longer is compared
+whole: it is dealt into tiles of BLOCK, and each two tiles are one product. A pair at the threshold has
+equal keys in a pass with probability (1 - angle / pi) ^ signs; the passes are as many as make the
+probability that it is in no window at most MISS, so they grow with the number of classes, and a pair's
+chance depends on no other vector. Up to BLOCK classes there is one window. Comparisons are in double
+precision. A pair is counted in the first pass that compares it (each row carries its keys of all
+passes), so nothing is emitted pair by pair: two tiles give the number of new links of each row and a
+spanning forest of them. The links of all passes are united by connected components.
+
+A row is copied once for each tile of its run in each pass. Runs of more than one tile are counted, at
+most one for BLOCK classes and pass, and joined. The comparisons in a dense group grow with the square of
+its size, as the links do.
 
 Defined results: null and zero vectors, and those with null or non-finite components, link with
 nothing (n_links 0, component_id their own vec_id). Vectors of different lengths are never compared.
+Vectors are scaled before they are compared, so very large and very small ones count as any other.
 Repeated rows are copies: all link with each other. A null vec_id links and counts as a row but names
 a component only if no other row can. Columns besides vec_id and embedding are ignored. An empty
 table gives an empty result.
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +39,6 @@ from lamina.llm.common import components, stored
 
 COSINE = 0.95
 BLOCK = 4096
-ALL_TILES = 16
 MISS = 1e-4
 SEED = 11
 
@@ -46,14 +49,17 @@ def usable(v) -> F.Column:
 
 
 def bits_and_passes(n: int, threshold: float, block: int, miss: float = MISS) -> tuple[int, int]:
-    """Bits of a key and passes for n classes of one dimension; no bits is one run of all of them."""
-    tiles = -(-n // block)
-    if tiles <= ALL_TILES:
-        return 0, 1
-    bits = math.ceil(math.log2(n / block))
+    """Signs of a key and passes for n classes of one dimension; no signs is one window of all of them."""
+    bits = max(0, math.ceil(math.log2(n / block)))
     together = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
-    passes = math.ceil(math.log(miss) / math.log1p(-together)) if 0 < together < 1 else 1 if together else tiles
-    return (bits, passes) if passes < tiles else (0, 1)
+    if together in (0, 1):
+        return (0, 1) if not together else (bits, 1)
+    return bits, math.ceil(math.log(miss) / math.log1p(-together))
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by their largest component, so that products neither overflow nor vanish."""
+    return x / np.abs(x).max(1)[:, None]
 
 
 def packed(x: np.ndarray) -> list[bytes]:
@@ -77,15 +83,16 @@ def keys(classes: DataFrame, plan: dict[int, tuple[int, int]], seed: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids, copies, vectors = batch.column("class_id").to_numpy(), batch.column("copies").to_numpy(), batch.column("v").to_pylist()
-            dims = np.array([len(v) for v in vectors])
+            ids, copies, vectors = batch.column("class_id").to_numpy(), batch.column("copies").to_numpy(), batch.column("v")
+            flat, ends = vectors.flatten().to_numpy(), np.cumsum(pc.list_value_length(vectors).to_numpy())
+            dims = np.diff(ends, prepend=0)
             for dim in np.unique(dims):
                 own = dims == dim
-                x = np.array([v for v, o in zip(vectors, own, strict=True) if o], np.float64)
+                x = flat[(ends - dims)[own][:, None] + np.arange(dim)]
                 bits, passes = plan[int(dim)]
                 if dim not in planes:
                     planes[dim] = np.random.default_rng([seed, int(dim)]).normal(size=(int(dim), passes * bits))
-                signs = ((x @ planes[dim]) > 0).reshape(len(x), passes, bits)
+                signs = ((scaled(x) @ planes[dim]) > 0).reshape(len(x), passes, bits)
                 key = signs.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[own]), pa.array(np.full(len(x), dim, np.int32)), pa.array(copies[own]), pa.array(packed(x), pa.binary()), pa.array(key.tolist(), pa.list_(pa.int64()))],
@@ -117,7 +124,8 @@ def compare(vectors: np.ndarray, ids: np.ndarray, keys: np.ndarray, copies: np.n
 
     Returns (class, links in vectors) and the ends of a spanning forest.
     """
-    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    unit = scaled(vectors)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
     a, b = np.flatnonzero(first), np.flatnonzero(first if same else ~first)
     near, links = np.zeros((len(a), len(b)), bool), np.zeros(len(ids))
     many, other = copies.astype(np.float64), unit[b].T.copy()
@@ -142,7 +150,7 @@ def near_links(signed: DataFrame, block: int, threshold: float) -> DataFrame:
     """a, b, n: a spanning edge (n null) or the number of new links of class a (b null)."""
     run_of = ["dim", "pass", "run"]
     large = signed.select("dim", F.posexplode("keys").alias("pass", "run")).groupBy(*run_of).agg(F.ceil(F.count("*") / block).alias("tiles")).where("tiles > 1")
-    rows = signed.select("*", F.posexplode("keys").alias("pass", "run")).join(F.broadcast(large), run_of, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
+    rows = signed.select("*", F.posexplode("keys").alias("pass", "run")).join(large, run_of, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("class_id", "pass"), F.col("tiles"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     rows = rows.select("class_id", "copies", "x", "keys", "own", *run_of, F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"))
 
