@@ -1,13 +1,16 @@
 """N-gram Jaccard join by a token-group matrix.
 
 A document is the set of its distinct word shingles; two link if their Jaccard similarity reaches a
-threshold given in hundredths. The result is exact: one class for equal sets, and components of all
-links between classes.
+threshold given in hundredths. Every pair of classes of equal sets is decided, none is sampled: the
+result is that of all links between classes, but for collisions of hashes. A set is counted by 64-bit
+hashes and known by one 64-bit hash of them, and overlaps are counted on 40-bit fingerprints, so for sets
+of n and m shingles one too many is counted with a probability of n m / 2^40 (1e-6 for a thousand each),
+which decides only a pair that is one shingle off the threshold.
 
 1. Sets are built once and stored as sorted 40-bit fingerprints. Equal sets are one class.
 2. A sketch of fixed size counts shingles over all documents. It gives a global order, rare shingles
    first, in which every link shares a shingle among the first n - ceil(t n) + 1 of both sides.
-3. Similar classes are partitioned into groups of at most GROUP by their least shingles. Groups with
+3. Similar classes are partitioned into groups of GROUP classes on average by their least shingles. Groups with
    several classes are opened once against themselves, so a large group of near copies falls into few
    pieces before anything is compared across groups.
 4. The matrix: for each range of shingles a task holds which groups contain each of them (the union of
