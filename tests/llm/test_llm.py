@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.llm import embedding_dedup, exact_dedup, html_text, mixing, ngram_join, packing, quality, secrets, sharding, warc
-from lamina.llm.common import components, fresh_path
+from lamina.llm.common import components, fresh_path, stored
 from lamina.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, sig string"
@@ -85,6 +85,12 @@ def test_exact_dedup_and_index(spark):
     again = exact_dedup.DigestIndex(spark, path, 4).add(documents(spark, [(1, "a  b"), (2, "d")])).collect()
     assert {(r.doc_id, r.keep_id, r.kept) for r in again} == {(1, 5, False), (2, 2, True)}
     assert exact_dedup.DigestIndex(spark, path, 4).rows().count() == 3
+    # a batch with a name gives the same result when it runs again, and is in the index once
+    batch = documents(spark, [(9, "d"), (8, "e  e"), (7, "e e")])
+    for _ in range(2):
+        again = exact_dedup.DigestIndex(spark, path, 4).add(batch, "third").collect()
+        assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in again} == {(9, 2, 1, False), (8, 7, 2, False), (7, 7, 2, True)}
+    assert exact_dedup.DigestIndex(spark, path, 4).rows().count() == 4
 
 
 def test_sharding(spark):
@@ -98,6 +104,38 @@ def test_sharding(spark):
     assert sharding.shard(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_written_shards_hold_every_row_once(spark):
+    rows = [*corpus(), *[(7, f"same {i}") for i in range(60)], (None, "x" * 500), (None, None)]
+    path = fresh_path(spark, "shards")
+    docs = documents(spark, rows)
+    sharding.write_shards(docs, path, limit=1500)
+    got = spark.read.parquet(path).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    sizes, places = Counter(), defaultdict(set)
+    for r in got:
+        sizes[r.shard_id] += len((r.text or "").encode())
+        places[r.doc_id].add(r.shard_id)
+    assert all(n <= 1500 or sum(r.shard_id == s for r in got) == 1 for s, n in sizes.items()) and len(sizes) > 20
+    assert len({len(s.partition("+")[0]) for s in sizes}) > 2 and all(len(v) == 1 for k, v in places.items() if k not in (7, None))
+
+
+def test_shards_are_the_buckets_of_a_directory_that_splits(spark):
+    """Against a directory in memory whose buckets split one by one."""
+    rng = random.Random(2)
+    rows = [(i, "x" * int(rng.expovariate(0.01))) for i in range(400)]
+    bits = {i: bin(int(hashlib.sha256(str(i).encode()).hexdigest()[:15], 16))[2:].zfill(60) for i, _ in rows}
+    want, todo = {}, [("", rows)]
+    while todo:
+        prefix, own = todo.pop()
+        size = sum(len(t) for _, t in own)
+        if size <= 3000:
+            want |= {i: (prefix or "-", len(prefix), size) for i, _ in own}
+        else:
+            todo += [(prefix + b, [r for r in own if bits[r[0]].startswith(prefix + b)]) for b in "01"]
+    got = {r.doc_id: (r.shard_id, r.depth, r.shard_bytes) for r in sharding.shard(documents(spark, rows), limit=3000).collect()}
+    assert got == want and len({d for _, d, _ in want.values()}) > 1
+
+
 def test_mixing(spark):
     rows = [(i, "a b c d", "big") for i in range(60)] + [(100 + i, "x y", "small") for i in range(10)] + [(200, None, None), (201, "", "small"), (100, "x y", "small")]
     got = mixing.mixture(documents(spark, rows), repeat_limit=3.0, block_tokens=50).collect()
@@ -181,20 +219,6 @@ def test_packing_limits():
     assert max(map(len, out)) <= 4 and max(sum(p[4] for p in s) for s in out) <= 30 and max(sum(len(p[2]) // 4 for p in s) for s in out) <= 64
 
 
-def test_quality_held_out(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    model = quality.train(docs, labels)
-    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
-    truth = {r.doc_id: r.quality for r in labels.collect()}
-    held = [(got[i].predicted, q) for i, q in truth.items() if got[i].held_out]
-    assert len(got) == docs.count() and sum(p == q for p, q in held) / len(held) >= 0.96
-    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
-    odd = quality.score(documents(spark, [(1, None), (None, ""), (1, None)]), model).collect()
-    assert len(odd) == 3 and all(0 <= r.score <= 1 for r in odd)
-    assert quality.fit([], []) == 0.5 and quality.score(docs.limit(0), 0.5).count() == 0
-
-
 def test_html(spark):
     cases = {
         "<nav><a href=x>Menu</a></nav><div class='ad'>Buy</div><article><h1>T &amp; U</h1><p>One\n two<p>Three<br>four</article><footer>F</footer>": "T & U\n\nOne two\n\nThree four",
@@ -238,6 +262,33 @@ def test_warc(spark):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_files(spark):
+    """Members stand at the offsets of both indexes, ids are unique, and normalising again replaces the files."""
+    import gzip
+    import json
+
+    rows = [(i % 7, "u", f"page {i % 5} " * 40) for i in range(40)] + [(None, None, None)]
+    base = fresh_path(spark, "warc-test")
+    archives = warc.write_monolithic(warc.decisions(stored(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), "pages")), base + "/whole")
+    index = [warc.normalise(archives, base + "/members").collect() for _ in range(2)]
+    assert sorted(index[0]) == sorted(index[1]) and len(index[0]) == len(rows)
+    ids, referred = [], set()
+    for path in {r.path for r in index[0]}:
+        own = sorted((r.offset, r.length) for r in index[0] if r.path == path)
+        raw = open(path.removeprefix("file:").replace("//", "/"), "rb").read()
+        side = [json.loads(x) for x in open((path + ".idx").removeprefix("file:").replace("//", "/"))]
+        assert [(x["offset"], x["length"]) for x in side] == own and sum(n for _, n in own) == len(raw)
+        for (at, n), x in zip(own, side, strict=True):
+            head = warc.headers(gzip.decompress(raw[at : at + n]).partition(b"\r\n\r\n")[0])
+            assert head["warc-record-id"] == x["id"]
+            ids.append(x["id"])
+            if "warc-refers-to" in head:
+                referred.add(head["warc-refers-to"])
+        whole = open(path.removeprefix("file:").replace("//", "/").replace("/members/", "/whole/"), "rb").read()
+        assert gzip.decompress(whole) == gzip.decompress(raw)
+    assert len(set(ids)) == len(rows) and referred <= set(ids) and len(referred) == 5
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 16))
@@ -252,6 +303,14 @@ def test_embeddings_against_brute_force(spark):
     assert [got[i].n_links for i in range(900, 906)] == [0, 0, 0, 0, 1, 1] and got[905].component_id == 904
 
 
+def test_embeddings_of_any_scale(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=8)
+    rows = [(1, v.tolist()), (2, (v * 1e200).tolist()), (3, (v * 1e-200).tolist()), (4, (-v * 1e200).tolist()), (5, (v / np.abs(v).max() * 1e308).tolist()), (6, [5e-324] * 8), (7, [1.0] * 8), (8, [0.0] * 7 + [-0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=2).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
@@ -287,7 +346,7 @@ def test_links_of_a_dense_group_of_near_copies_are_all_found(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     near = unit @ unit.T >= 0.95
-    # 24 tiles, so by passes over keys; defaults compare all pairs
+    # by passes over keys; with the default all classes are one run
     for block in (128, embedding_dedup.BLOCK):
         got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=block).collect()}
         found = np.array([got[i].n_links for i in range(len(x))])
@@ -341,6 +400,25 @@ def test_html_surges_and_dives(before, after, want):
     assert html_text.main_text(before + "".join(f"<p>{t}</p>" for t in LONG_PARAGRAPHS) + after) == "\n\n".join(want)
 
 
+def test_ngram_join_over_several_ranges_groups_and_salts(spark, monkeypatch):
+    """The limits are made small, so that every way of splitting is taken."""
+    for name, value in (("GROUP", 4), ("QUERIES", 4), ("RANGE_TOKENS", 400)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(12)
+    words = [f"v{i}" for i in range(300)]
+    bases = [[rng.choice(words) for _ in range(rng.randrange(30, 90))] for _ in range(6)]
+    shared = [rng.choice(words) for _ in range(25)]
+    rows = []
+    for i in range(260):
+        text = list(bases[i % 6]) if i % 5 else [rng.choice(words) for _ in range(40)]
+        for _ in range(rng.randrange(0, 4)):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        rows.append((i, " ".join(shared + text if i % 3 == 0 else text)))
+    for words_, percent in ((4, 85), (5, 80)):
+        got = ngram_join.similar_documents(documents(spark, rows), words_, percent).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, words_, percent)
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_ngram_bound_opens_what_any_size_in_the_range_needs(spark, percent):
     rows = []
@@ -351,10 +429,3 @@ def test_ngram_bound_opens_what_any_size_in_the_range_needs(spark, percent):
         rows += [(m, m, 1000 * lo + hi, max(0, min(need[k] for k in range(lo, hi + 1))), lo, hi) for lo in sizes for hi in sizes if lo <= hi]
     found = spark.createDataFrame(rows, "q long, mq long, grp long, shared long, lo long, hi long")
     assert ngram_join.within_bound(found, percent).count() == len(rows)
-
-
-def test_quality_reads_the_last_byte_of_an_odd_text():
-    net = quality.Network(np.random.default_rng(1))
-    a, b = (net.pooled(b"some text" * 5 + end) for end in (b"xx", b"xy"))
-    assert len(b"some text" * 5 + b"xx") % 2 == 1 and (a != b).any()
-    assert (net.pooled(b"some text" * 5 + b"x ") == net.pooled(b"some text" * 5 + b"x  ")).all()
