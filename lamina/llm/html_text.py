@@ -4,14 +4,17 @@ Markup is stripped into lines: a block element starts a line, a boilerplate cont
 footer, form, advert, comment section and the like, by element or by class, id or role; words that
 only tell of the layout do not count, and doubtful ones only for short text or many links) leaves GAP
 empty lines in its place, and so does the edge of an article or main element. Then the
-characters outside links of WINDOW consecutive lines are summed at every line. A dive is where that sum
-falls below SHARE of the page's largest and most of the window is links, a surge is where text begins
-again: lines mostly of links in between are dropped, inside an article or main element only where the
-whole window is such lines. In a page with such an element the other lines inside it are kept; the
-element, not a sum, says where its text begins. In any other page the lines between dives and gaps are
-passages; kept are those whose text is mostly not links, from the first to the last one whose largest sum
-reaches SHARE of the page's largest, and shorter ones with a sentence's end that only a gap parts from
-these.
+characters outside links of WINDOW consecutive lines are summed at every line, and these sums decide:
+
+* A dive is where the sum falls below SHARE of the page's largest and most of the window is links, a surge
+  is where text begins again; lines mostly of links in between are dropped, inside an article or main
+  element only where the whole window is such lines.
+* An article or main element is a hint. It holds where the largest sum outside is below DOUBT times
+  the largest inside; then what is outside goes. Otherwise it is a teaser or a comment, and the sums alone
+  tell where the text is.
+* Without such an element the lines between dives and gaps are passages. Kept are those whose text is
+  mostly not links, from the first to the last one whose largest sum reaches SHARE of the page's largest,
+  and shorter ones with a sentence's end that only a gap parts from these.
 
 Inside a block each run of white space is one space; blocks are joined by two line feeds in page
 order. Character references are decoded after tags are removed. Defined results: null html gives
@@ -37,6 +40,7 @@ WINDOW = 3
 GAP = 3
 SHARE = 0.1
 LINKS = 0.5
+DOUBT = 4
 SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"'\u201d\u2019\u00bb)\]]*\Z")
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
@@ -300,38 +304,57 @@ def _sunk(page: list[tuple[str, int, bool]]) -> list[bool]:
     return out
 
 
+def _plain(page: list[tuple[str, int, bool]]) -> list[int]:
+    return [max(0, len(t) - k) for t, k, _ in page]
+
+
+def _holds(page: list[tuple[str, int, bool]]) -> bool:
+    """Whether the sums bear out that the page's article and main elements have its text."""
+    if not any(inside for _, _, inside in page):
+        return False
+    plain = _plain(page)
+    within, without = (max(_sums([p * (inside == side) for p, (_, _, inside) in zip(plain, page, strict=True)])) for side in (True, False))
+    return without < DOUBT * within or not without
+
+
+def _passages(page: list[tuple[str, int, bool]], sunk: list[bool]) -> list[tuple[str, int, bool]]:
+    """The lines from the first surge to the last dive, by the sums alone."""
+    found: list[list[tuple[str, int, bool]]] = []
+    beside: list[bool] = []  # whether only a gap parts a passage from the one before
+    new = links_between = True
+    for x, s in zip(page, sunk, strict=True):
+        if x[0] and not s:
+            if new:
+                found.append([])
+                beside.append(not links_between)
+            found[-1].append(x)
+            new = links_between = False
+        else:
+            new = True
+            links_between |= s
+    peak = [max(_sums(_plain(p))) if sum(k for _, k, _ in p) < LINKS * sum(len(t) for t, _, _ in p) else 0 for p in found]
+    if not any(peak):
+        return []
+    strong = [i for i, m in enumerate(peak) if m >= SHARE * max(peak)]
+    first, last = strong[0], strong[-1]
+    prose = [m > 0 and any(SENTENCE.search(t) for t, _, _ in p) for m, p in zip(peak, found, strict=True)]
+    while first and beside[first] and prose[first - 1]:
+        first -= 1
+    while last + 1 < len(found) and beside[last + 1] and prose[last + 1]:
+        last += 1
+    return [x for i in range(first, last + 1) if peak[i] for x in found[i]]
+
+
 def main_text(html: str | None) -> str:
     page = lines(html or "")
     if not page:
         return ""
     sunk = _sunk(page)
-    if any(x[2] for x in page):
+    if _holds(page):
         own = [(x, s) for x, s in zip(page, sunk, strict=True) if x[2]]
         kept = [x for x, s in own if not s] or [x for x, _ in own]
     else:
-        passages, beside, new = [], [], True  # and whether only a gap parts a passage from the one before
-        links_between = True
-        for x, s in zip(page, sunk, strict=True):
-            if x[0] and not s:
-                if new:
-                    passages.append([])
-                    beside.append(not links_between)
-                passages[-1].append(x)
-                new = links_between = False
-            else:
-                new = True
-                links_between |= s
-        peak = [max(_sums([max(0, len(t) - k) for t, k, _ in p])) if sum(k for _, k, _ in p) < LINKS * sum(len(t) for t, _, _ in p) else 0 for p in passages]
-        if not any(peak):
-            return ""
-        strong = [i for i, m in enumerate(peak) if m >= SHARE * max(peak)]
-        first, last = strong[0], strong[-1]
-        prose = [m > 0 and any(SENTENCE.search(t) for t, _, _ in p) for m, p in zip(peak, passages, strict=True)]
-        while first and beside[first] and prose[first - 1]:
-            first -= 1
-        while last + 1 < len(passages) and beside[last + 1] and prose[last + 1]:
-            last += 1
-        kept = [x for i in range(first, last + 1) if peak[i] for x in passages[i]]
+        kept = _passages(page, sunk)
     return "\n\n".join(t for t, _, _ in kept)
 
 
