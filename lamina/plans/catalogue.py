@@ -1,7 +1,8 @@
 """Named queries over the driver's tables, each with the DuckDB statement it must equal.
 
-The tables hold no slide packages: a query shows the semantics of an operator on the tables there are.
-Packages themselves are read by lamina.sources.package, which tests cover.
+The tables hold no slide packages: most queries show the semantics of an operator on the tables there are,
+those whose name begins with deck_ read packages that lamina.plans.decks makes of the supplier table.
+Documents of Markdown, which the tables lack too, are written out in the queries that read them.
 """
 
 from __future__ import annotations
@@ -13,9 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import keys
+from lamina.operators import raster, tree
 from lamina.operators import relational as R
 from lamina.operators import text as X
-from lamina.session import table
+from lamina.plans.decks import supplier_parts
+from lamina.session import fresh_path, table
+from lamina.sources import deck as D
+from lamina.sources import package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,36 +36,23 @@ def query(oracle: str | None):
     return register
 
 
-def same(name: str, sql: str, duck: str | None = None) -> None:
-    """A query that is SQL itself; `{table}` stands for a table. duck: where DuckDB spells it otherwise."""
-    import re
-
-    def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", sql))
-
-    fn.__name__ = name
-    QUERIES[name] = fn
-    ORACLE_SQL[name] = re.sub(r"\{(\w+)\}", r"\1", duck or sql)
-
-
 # --- duplicates, digests, summaries -------------------------------------------------
 
 
-@query("""SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS keep, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS members
-FROM documents GROUP BY sha256(text) HAVING count(*) > 1""")
+@query("""SELECT digest, n, keep, doc_id AS member FROM (SELECT doc_id, sha256(text) AS digest, count(*) OVER w AS n, min(doc_id) OVER w AS keep FROM documents WINDOW w AS (PARTITION BY sha256(text))) WHERE n > 1""")
 def exact_dup_manifest(spark, d):
-    return R.duplicate_manifest(table(spark, d, "documents"), "text", "doc_id").where("n > 1").withColumn("members", F.concat_ws(",", F.col("members").cast("array<string>")))
+    return R.duplicate_members(table(spark, d, "documents"), "text", "doc_id")
 
 
 @query("SELECT sha256(text) AS digest, min(doc_id) AS keep FROM documents GROUP BY sha256(text)")
 def dedup_representatives(spark, d):
-    return R.duplicate_manifest(table(spark, d, "documents"), "text", "doc_id").select("digest", "keep")
+    return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("keep"))
 
 
 @query("""SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS usages, count(*) FILTER (n > 1) AS repeated, CAST(sum(n - 1) AS BIGINT) AS redundant
 FROM (SELECT count(*) AS n FROM documents GROUP BY sha256(text))""")
 def dup_summary(spark, d):
-    m = R.duplicate_manifest(table(spark, d, "documents"), "text", "doc_id")
+    m = table(spark, d, "documents").groupBy(F.sha2("text", 256)).agg(F.count("*").alias("n"))
     return m.agg(F.count("*").alias("groups"), F.sum("n").alias("usages"), F.count_if(F.col("n") > 1).alias("repeated"), F.sum(F.col("n") - 1).alias("redundant"))
 
 
@@ -89,26 +81,50 @@ def snapshot_diff_structural(spark, d):
     return _diff(spark, d, "doc_id > 0")
 
 
-@query("""SELECT conv_id, sha256(string_agg(k, chr(10) ORDER BY k)) AS digest FROM (SELECT conv_id, role || '|' || text AS k FROM conversations) GROUP BY conv_id""")
+@query("""SELECT conv_id, sha256(string_agg(k, chr(10) ORDER BY turn)) AS digest FROM (SELECT conv_id, turn, role || '|' || text AS k FROM conversations) GROUP BY conv_id""")
 def thread_digest(spark, d):
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.concat_ws("|", "role", "text"))).alias("k"))
-    return rows.select("conv_id", F.sha2(F.array_join("k", "\n"), 256).alias("digest"))
+    """Replies count in their order; a conversation is one row, as its digest needs all of it."""
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws("|", "role", "text").alias("k")))).alias("s"))
+    return rows.select("conv_id", F.sha2(F.array_join(F.transform("s", lambda x: x["k"]), "\n"), 256).alias("digest"))
 
 
-@query("SELECT DISTINCT left(sha1(html), 12) || '.html' AS name, length(html) AS size FROM pages")
+@query("SELECT DISTINCT left(sha1(html), 12) || '.html' AS name, length(html) AS size, 1 AS times FROM pages")
 def content_store(spark, d):
-    return table(spark, d, "pages").select(keys.content_name(F.col("html"), ".html").alias("name"), F.length("html").cast("long").alias("size")).dropDuplicates()
+    """Pages put into a store twice: each name is written once."""
+    rows, path = table(spark, d, "pages"), fresh_path(spark, "content-store")
+    for _ in range(2):
+        keys.store_content(rows, "html", ".html", path)
+    return spark.read.parquet(path).groupBy("name").agg(F.max(F.length("content")).cast("long").alias("size"), F.count("*").cast("int").alias("times"))
+
+
+def _uuid5(name: str) -> str:
+    """SQL of the version 5 UUID of a name."""
+    h = f"sha1(unhex('{keys.NAMESPACE.hex}') || CAST({name} AS BLOB))"
+    nibble = f"(strpos('0123456789abcdef', substr({h}, 17, 1)) - 1) & 3"
+    return f"""substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || substr('89ab', ({nibble}) + 1, 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"""
+
 
+def _braced(name: str) -> str:
+    return "'{' || upper(" + _uuid5(name) + ") || '}'"
 
-@query(None)
+
+@query(f"""WITH t AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role, turn ORDER BY conv_id) - 1 AS salt FROM conversations),
+h AS (SELECT conv_id, turn, role, {_braced("role || '|' || turn || CASE WHEN salt > 0 THEN '|' || salt ELSE '' END")} AS thread_id FROM t)
+SELECT conv_id, turn, thread_id, {_braced("thread_id || '|' || role || '|' || turn")} AS reply_id FROM h""")
 def surrogate_key(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", keys.thread_id(F.col("role"), F.concat_ws("-", "conv_id", "turn")).alias("thread_id"))
+    rows = R.placed(table(spark, d, "conversations"), ["role", "turn"], [F.col("conv_id")], "salt")
+    at = F.col("turn").cast("string")
+    ids = rows.select("conv_id", "turn", "role", keys.thread_id(F.col("role"), at, F.col("salt") - 1).alias("thread_id"))
+    return ids.select("conv_id", "turn", "thread_id", keys.reply_id(F.col("thread_id"), F.col("role"), at).alias("reply_id"))
 
 
 # --- text and Markdown --------------------------------------------------------------
 
-same("title_hint", """SELECT doc_id, coalesce(nullif(trim(regexp_extract(text, '(?m)^\\\\s*([^\\\\s].*)$', 1)), ''), 'slide') AS title FROM {documents}""",
-     r"""SELECT doc_id, coalesce(nullif(trim(regexp_extract(text, '(?m)^\s*([^\s].*)$', 1)), ''), 'slide') AS title FROM {documents}""")
+@query(r"""SELECT doc_id, coalesce(nullif(trim(regexp_extract(text, '(?m)^\s*([^\s].*)$', 1)), ''), 'slide') AS title FROM documents""")
+def title_hint(spark, d):
+    first = F.nullif(F.trim(F.regexp_extract("text", r"(?m)^\s*([^\s].*)$", 1)), F.lit(""))
+    return table(spark, d, "documents").select("doc_id", F.coalesce(first, F.lit("slide")).alias("title"))
+
 
 STEM = r"""trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace({c}, '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '[\s-]+', '_', 'g'), '^_+|_+$', '', 'g')), '_+', '_', 'g'))"""
 H1 = r"regexp_extract(html, '<h1>([^<]*)</h1>', 1)"
@@ -129,21 +145,33 @@ def semantic_name(spark, d):
     return table(spark, d, "pages").select("page_id", F.coalesce(F.nullif(_h1(), empty), F.nullif(F.regexp_extract("html", "<title>([^<]*)</title>", 1), empty), F.regexp_extract("url", "([^/]+)/?$", 1), F.lit("page")).alias("name"))
 
 
-@query(f"""SELECT page_id, CASE WHEN k = 1 THEN b ELSE b || '_' || (k - 1) END AS name FROM (
-SELECT page_id, b, row_number() OVER (PARTITION BY b ORDER BY page_id) AS k FROM (SELECT page_id, left({STEM.format(c=H1)}, 3) AS b FROM pages))""")
+@query(f"""WITH b AS (SELECT page_id, left({STEM.format(c=H1)}, 60) AS b, split_part(url, '/', 3) AS host FROM pages),
+k AS (SELECT *, row_number() OVER (PARTITION BY host, b ORDER BY page_id) AS k FROM b)
+SELECT page_id, CASE WHEN k = 1 THEN b ELSE b || '-' || k END AS name FROM k
+UNION ALL SELECT * FROM (VALUES (-6, 'a'), (-5, 'a-2'), (-4, 'a-2-2'), (-3, 'a-3'), (-2, 'a-3-2'), (-1, 'b'))""")
 def unique_names(spark, d):
-    rows = table(spark, d, "pages").select("page_id", F.left(X.sanitised(_h1()), F.lit(3)).alias("b"))
-    return rows.select("page_id", R.unique_names(rows, "b", "page_id", 1, "_").alias("name"))
+    """Names of pages in their host; the names of six more rows are themselves numbered."""
+    rows = table(spark, d, "pages").select("page_id", F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), X.sanitised(_h1()).alias("b"))
+    more = spark.createDataFrame([(-6, "-", "a"), (-5, "-", "a"), (-4, "-", "a-2"), (-3, "-", "a"), (-2, "-", "a-3"), (-1, "-", "b")], "page_id long, host string, b string")
+    return R.distinct_names(rows.unionByName(more), ["host"], "b", "page_id", "-", 2).select("page_id", "name")
 
 
-SLUG = rf"regexp_replace(regexp_replace(lower(trim({H1})), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '\s', '-', 'g')"
+VISIBLE = rf"replace(replace(replace(regexp_replace({H1}, '[*_`~]', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+SLUG = rf"regexp_replace(trim(regexp_replace(lower(trim({VISIBLE})), '[^\p{{L}}\p{{N}}\p{{Mn}}\p{{Mc}}\p{{Pc}} -]', '', 'g')), ' +', '-', 'g')"
 
 
 @query(f"""SELECT page_id, CASE WHEN k = 0 THEN b ELSE b || '-' || k END AS slug FROM (
-SELECT page_id, b, row_number() OVER (PARTITION BY b ORDER BY page_id) - 1 AS k FROM (SELECT page_id, left({SLUG}, 4) AS b FROM pages))""")
+SELECT page_id, b, row_number() OVER (PARTITION BY h, b ORDER BY page_id) - 1 AS k FROM (SELECT page_id, split_part(url, '/', 3) AS h, {SLUG} AS b FROM pages))""")
 def heading_slugs(spark, d):
-    rows = table(spark, d, "pages").select("page_id", F.left(X.slug(_h1()), F.lit(4)).alias("b"))
-    return rows.select("page_id", R.unique_names(rows, "b", "page_id", 1, "-").alias("slug"))
+    rows = table(spark, d, "pages").select("page_id", F.split_part("url", F.lit("/"), F.lit(3)).alias("h"), X.slug(X.plain_title(_h1())).alias("b"))
+    k = F.row_number().over(R.Window.partitionBy("h", "b").orderBy("page_id")) - 1
+    return rows.select("page_id", F.when(k == 0, F.col("b")).otherwise(F.concat_ws("-", "b", k.cast("string"))).alias("slug"))
+
+
+@query("SELECT * FROM (VALUES ('A  B', 'a-b'), ('! A', 'a'), ('x_y-z', 'xy-z'), ('**Bold** [link](u) <b>t</b>', 'bold-link-t'), ('Ünï &amp; co.', 'ünï-co')) t(title, slug)")
+def slug_rules(spark, d):
+    rows = spark.createDataFrame([(x,) for x in ("A  B", "! A", "x_y-z", "**Bold** [link](u) <b>t</b>", "Ünï &amp; co.")], "title string")
+    return rows.select("title", X.slug(X.plain_title(F.col("title"))).alias("slug"))
 
 
 @query("""SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, l[i] AS href FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i
@@ -225,30 +253,99 @@ def reason_array(spark, d):
 
 # --- joins and sets -----------------------------------------------------------------
 
-same("usage_error_split", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unlabelled' WHEN l.toxic = 1 THEN 'toxic' WHEN l.quality = 0 THEN 'junk' END AS reason FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id")
-same("rel_lookup", "SELECT o.o_orderkey, c.c_name FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey")
-same("lookup_left_fallback", "SELECT o.o_orderkey, coalesce(c.c_name, concat('TODO:', CAST(o.o_custkey AS STRING))) AS name FROM {orders} o LEFT JOIN (SELECT * FROM {customer} WHERE c_acctbal > 0) c ON o.o_custkey = c.c_custkey")
-same("rel_two_hop", "SELECT c.c_custkey, r.r_name FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey")
-same("graph_edges_semi", "SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_partkey IN (SELECT p_partkey FROM {part} WHERE p_size < 25) AND l_suppkey IN (SELECT s_suppkey FROM {supplier} WHERE s_acctbal > 0)")
-same("ledger_reconcile", "SELECT doc_id, 'kept not linked' AS problem FROM {labels} WHERE quality = 0 AND doc_id NOT IN (SELECT doc_id FROM {documents} WHERE n_chars > 500) UNION ALL SELECT doc_id, 'linked not kept' AS problem FROM {documents} WHERE n_chars > 500 AND doc_id NOT IN (SELECT doc_id FROM {labels} WHERE quality = 0)")
-same("ledger_rules", "SELECT CASE WHEN quality = 1 AND toxic = 0 THEN 'keep' WHEN quality = 1 THEN 'retry' ELSE 'omit' END AS disposition, count(*) AS n, count(CASE WHEN toxic = 1 THEN 1 END) AS errors FROM {labels} GROUP BY 1")
-same("set_algebra", "SELECT 'both' AS side, count(*) AS n FROM (SELECT doc_id FROM {documents} INTERSECT SELECT doc_id FROM {labels}) UNION ALL SELECT 'documents', count(*) FROM (SELECT doc_id FROM {documents} EXCEPT SELECT doc_id FROM {labels}) UNION ALL SELECT 'either', count(*) FROM (SELECT doc_id FROM {documents} UNION SELECT doc_id FROM {labels})")
-same("simple_counts", "SELECT 'lang' AS kind, lang AS value, count(*) AS n FROM {documents} GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM {documents} GROUP BY source UNION ALL SELECT 'role', role, count(*) FROM {conversations} GROUP BY role")
-same("order_yx", "SELECT s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS INT) AS k FROM {supplier}")
-same("layered_defaults", "SELECT s.s_suppkey, coalesce(CASE WHEN s.s_acctbal > 5000 THEN s.s_name END, CASE WHEN n.n_nationkey < 12 THEN n.n_name END, r.r_name) AS label FROM {supplier} s JOIN {nation} n ON s.s_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey")
-
-
-@query("""SELECT doc_id, coalesce(n.quality, o.quality) AS quality FROM (SELECT doc_id, quality FROM labels WHERE doc_id % 3 <> 0) o
-FULL JOIN (SELECT doc_id, 1 - quality AS quality FROM labels WHERE doc_id % 2 = 0) n USING (doc_id)""")
+@query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unlabelled' WHEN l.toxic = 1 THEN 'toxic' WHEN l.quality = 0 THEN 'junk' END AS reason FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def usage_error_split(spark, d):
+    rows = R.lookup(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), {"doc_id": "doc_id"}, ["toxic", "quality"])
+    good, bad = R.split_errors(rows, {"unlabelled": F.col("quality").isNull(), "toxic": F.col("toxic") == 1, "junk": F.col("quality") == 0})
+    return bad.select("doc_id", "reason").unionByName(good.select("doc_id", F.lit(None).cast("string").alias("reason")))
+
+
+@query("SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey")
+def rel_lookup(spark, d):
+    return R.lookup(table(spark, d, "orders"), table(spark, d, "customer"), {"o_custkey": "c_custkey"}, ["c_name"], how="inner").select("o_orderkey", "c_name")
+
+
+@query("SELECT o.o_orderkey, coalesce(c.c_name, 'TODO:' || o.o_custkey) AS name FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o.o_custkey = c.c_custkey")
+def lookup_left_fallback(spark, d):
+    known = table(spark, d, "customer").where("c_acctbal > 0")
+    todo = F.concat(F.lit("TODO:"), F.col("o_custkey").cast("string"))
+    return R.lookup(table(spark, d, "orders"), known, {"o_custkey": "c_custkey"}, ["c_name"], todo).select("o_orderkey", F.col("c_name").alias("name"))
+
+
+@query("SELECT c.c_custkey, r.r_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey")
+def rel_two_hop(spark, d):
+    steps = (table(spark, d, "nation"), "c_nationkey", "n_nationkey", ["n_regionkey"]), (table(spark, d, "region"), "n_regionkey", "r_regionkey", ["r_name"])
+    return R.hops(table(spark, d, "customer"), *steps).select("c_custkey", "r_name")
+
+
+@query("""SELECT l_orderkey, l_linenumber, p_partkey AS l_partkey, s_suppkey AS l_suppkey FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 25) ON p_partkey = l_partkey
+LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON s_suppkey = l_suppkey WHERE p_partkey IS NOT NULL OR s_suppkey IS NOT NULL""")
+def graph_edges(spark, d):
+    nodes = {"l_partkey": (table(spark, d, "part").where("p_size < 25"), "p_partkey"), "l_suppkey": (table(spark, d, "supplier").where("s_acctbal > 0"), "s_suppkey")}
+    return R.present_ends(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), nodes)
+
+
+@query("""WITH l AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0), d AS (SELECT DISTINCT doc_id FROM documents WHERE n_chars > 500)
+SELECT doc_id, 'kept not linked' AS problem FROM l WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.doc_id = l.doc_id)
+UNION ALL SELECT doc_id, 'linked not kept' FROM d WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.doc_id = d.doc_id)""")
+def ledger_reconcile(spark, d):
+    return R.reconcile(table(spark, d, "labels").where("quality = 0"), table(spark, d, "documents").where("n_chars > 500"), "doc_id", "kept not linked", "linked not kept")
+
+
+@query("""SELECT user_id FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'click' OR value > 50) w WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = w.user_id AND e.value < 1)""")
+def target_set(spark, d):
+    """Users that clicked or spent, less those with a small value."""
+    rows = table(spark, d, "events")
+    return R.target_set(rows.where("event_type = 'click'"), rows.where("value > 50"), rows.where("value < 1"), "user_id")
+
+
+@query("SELECT 'both' AS side, count(*) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT 'documents', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'either', count(*) FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels)")
+def set_algebra(spark, d):
+    a, b = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id")
+    sides = {"both": a.intersect(b), "documents": a.subtract(b), "either": a.union(b).distinct()}
+    counts = [v.agg(F.lit(k).alias("side"), F.count("*").alias("n")) for k, v in sides.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("SELECT 'lang' AS kind, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source UNION ALL SELECT 'role', role, count(*) FROM conversations GROUP BY role")
+def simple_counts(spark, d):
+    docs, said = table(spark, d, "documents"), table(spark, d, "conversations")
+    each = [t.groupBy(F.lit(c).alias("kind"), F.col(c).alias("value")).agg(F.count("*").alias("n")) for t, c in ((docs, "lang"), (docs, "source"), (said, "role"))]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query("SELECT s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS INT) AS k FROM supplier")
+def order_yx(spark, d):
+    return R.placed(table(spark, d, "supplier"), ["s_nationkey"], [F.col("s_acctbal"), F.col("s_suppkey")], "k").select("s_suppkey", "k")
+
+
+@query(r"""SELECT p_partkey, CAST(row_number() OVER (ORDER BY CAST(regexp_extract(name, '(\d+)', 1) AS BIGINT), name) AS BIGINT) AS ordinal FROM (SELECT p_partkey, 'slide' || p_partkey || '.xml' AS name FROM part)""")
+def numeric_order(spark, d):
+    """Names in the order of their numbers, not of their letters."""
+    rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit("slide"), F.col("p_partkey").cast("string"), F.lit(".xml")).alias("name"))
+    rows = rows.withColumn("key", F.struct(F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("number"), "name"))
+    return rows.join(R.dense_ids(rows, "key", 16), "key").select("p_partkey", F.col("new_id").cast("long").alias("ordinal"))
+
+
+@query("""SELECT s.s_suppkey, coalesce(CASE WHEN s.s_acctbal > 5000 THEN s.s_name END, CASE WHEN n.n_nationkey < 12 THEN n.n_name END, r.r_name) AS label FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey""")
+def layered_defaults(spark, d):
+    steps = (table(spark, d, "nation"), "s_nationkey", "n_nationkey", ["n_name", "n_regionkey"]), (table(spark, d, "region"), "n_regionkey", "r_regionkey", ["r_name"])
+    rows = R.hops(table(spark, d, "supplier"), *steps)
+    return rows.select("s_suppkey", R.layered(F.when(F.col("s_acctbal") > 5000, F.col("s_name")), F.when(F.col("s_nationkey") < 12, F.col("n_name")), F.col("r_name")).alias("label"))
+
+
+@query("""SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.quality, o.quality) AS quality FROM labels o
+FULL JOIN (SELECT doc_id, CASE WHEN lang = 'en' THEN NULL WHEN n_chars > 1000 THEN 1 ELSE 0 END AS quality FROM documents) n ON n.doc_id = o.doc_id""")
 def upsert_merge(spark, d):
-    rows = table(spark, d, "labels")
-    return R.upsert(rows.where("doc_id % 3 <> 0"), rows.where("doc_id % 2 = 0").withColumn("quality", 1 - F.col("quality")), ["doc_id"], ["quality"])
+    """Labels with a rule's verdict on all documents: it wins, but where it has none."""
+    rule = F.when(F.col("lang") == "en", F.lit(None)).when(F.col("n_chars") > 1000, 1).otherwise(0).cast("int")
+    return R.upsert(table(spark, d, "labels"), table(spark, d, "documents").select("doc_id", rule.alias("quality")), ["doc_id"], ["quality"])
 
 
-@query("""SELECT event_id FROM events p WHERE event_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_id % 3 = 0 AND b.user_id = p.user_id AND date_trunc('hour', b.ts) = date_trunc('hour', p.ts))""")
+@query("""SELECT event_id FROM events p WHERE event_type <> 'purchase' AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'purchase' AND b.user_id = p.user_id AND date_trunc('hour', b.ts) = date_trunc('hour', p.ts))""")
 def pending_carryover(spark, d):
     rows = table(spark, d, "events").withColumn("at", F.date_trunc("hour", "ts"))
-    return R.carry_over(rows.where("event_id % 2 = 0"), rows.where("event_id % 3 = 0"), ["user_id", "at"]).select("event_id")
+    return R.carry_over(rows.where("event_type <> 'purchase'"), rows.where("event_type = 'purchase'"), ["user_id", "at"]).select("event_id")
 
 
 @query("""SELECT user_id, coalesce(c_name, 'user ' || user_id) AS name FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN customer ON c_custkey = user_id
@@ -258,6 +355,21 @@ def dim_insert_on_miss(spark, d):
     return R.insert_on_miss(table(spark, d, "events"), known, "user_id", F.concat(F.lit("user "), F.col("user_id").cast("string")))
 
 
+@query("""WITH k AS (SELECT min(s_suppkey) AS id, s_name AS name FROM supplier WHERE s_acctbal > 0 GROUP BY s_name),
+f AS (SELECT s_suppkey AS ref, s_name AS name, CASE WHEN s_nationkey < 5 THEN s_suppkey END AS id FROM supplier)
+SELECT 'fact' AS kind, ref, coalesce(f.id, k.id, -ref) AS id, f.name FROM f LEFT JOIN k USING (name)
+UNION ALL SELECT 'dimension', NULL, id, min(name) FROM (SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_acctbal > 0
+  UNION ALL SELECT coalesce(f.id, k.id, -ref), f.name FROM f LEFT JOIN k USING (name)) GROUP BY id""")
+def dim_resolution(spark, d):
+    """An id that is given stays, else the name's, else a derived one, which becomes a row of the dimension."""
+    rows = table(spark, d, "supplier")
+    known = rows.where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    facts = rows.select(F.col("s_suppkey").alias("ref"), F.col("s_name").alias("name"), F.when(F.col("s_nationkey") < 5, F.col("s_suppkey")).alias("id"))
+    out, dimension = R.resolve(facts, known, "id", "name", -F.col("ref"))
+    none = F.lit(None).cast("long")
+    return out.select(F.lit("fact").alias("kind"), "ref", "id", "name").unionByName(dimension.select(F.lit("dimension").alias("kind"), none.alias("ref"), "id", "name"))
+
+
 @query("""SELECT p_partkey, coalesce(a.v, b.v, c.v) AS price FROM part p
 LEFT JOIN (SELECT p_brand, p_type, max(p_retailprice) AS v FROM part WHERE p_size > 40 GROUP BY ALL) a ON a.p_brand = p.p_brand AND a.p_type = p.p_type
 LEFT JOIN (SELECT p_brand, max(p_retailprice) AS v FROM part WHERE p_size > 49 GROUP BY ALL) b ON b.p_brand = p.p_brand
@@ -336,26 +448,52 @@ f AS (SELECT id, 0 AS depth, id AS path FROM t WHERE parent_id IS NULL UNION ALL
 
 @query(f"WITH {GEO} SELECT id, depth, path FROM f")
 def flatten_tree(spark, d):
-    from lamina.operators import tree
-
     return tree.flatten(_geo(spark, d)).select("id", "depth", F.array_join("path", "/").alias("path"))
 
 
 @query(f"WITH {GEO} SELECT DISTINCT unnest(string_split(path, '/')) AS id FROM f WHERE id IN ('c7', 'c11', 'n3', 'x1')")
 def subtree_select(spark, d):
-    from lamina.operators import tree
-
     return tree.keep_with_ancestors(tree.flatten(_geo(spark, d)), spark.createDataFrame([("c7",), ("c11",), ("n3",), ("x1",)], "id string"))
 
 
-@query(f"WITH {GEO} SELECT id, CAST(list_product(list_transform(string_split(path, '/'), lambda x: 1 + CAST(substr(x, 2) AS INTEGER) % 3)) AS BIGINT) AS scale FROM f")
-def transform_fold(spark, d):
-    from lamina.operators import tree
+@query(f"WITH {GEO} SELECT id FROM f WHERE list_contains(string_split(path, '/')[:-2], 'r1') OR list_contains(string_split(path, '/')[:-2], 'n2')")
+def ancestor_exists(spark, d):
+    return tree.below(tree.flatten(_geo(spark, d)), spark.createDataFrame([("r1",), ("n2",), ("c1",)], "id string")).select("id")
+
+
+@query(f"""WITH {GEO}, s AS (SELECT id, list_transform(string_split(path, '/'), lambda x: CAST(substr(x, 2) AS INTEGER)) AS p FROM f)
+SELECT id, CAST(row_number() OVER (ORDER BY list_append(p, 2147483647)) AS BIGINT) AS z FROM s""")
+def preorder_z(spark, d):
+    """Numbers on the way through the tree; a node comes after all that is below it."""
+    return tree.preorder(tree.flatten(_geo(spark, d)), 16).select("id", F.col("z").cast("long").alias("z"))
+
 
-    one = lambda x: (F.substring(x, 2, 9).cast("int") % 3 + 1).cast("double")
-    zero = F.lit(0.0)
-    chain = F.transform("path", lambda x: F.struct(zero.alias("x"), zero.alias("y"), one(x).alias("sx"), one(x).alias("sy"), zero.alias("rot")))
-    return tree.flatten(_geo(spark, d)).select("id", tree.fold_transforms(chain)["sx"].cast("long").alias("scale"))
+@query("SELECT * FROM (VALUES ('c7', false), ('n3', false), ('q9', true), ('r77', true)) t(id, missing)")
+def missing_ids(spark, d):
+    wanted = spark.createDataFrame([("c7",), ("n3",), ("q9",), ("r77",)], "id string")
+    lost = tree.missing(tree.flatten(_geo(spark, d)), wanted).withColumn("missing", F.lit(True))
+    return wanted.join(lost, "id", "left").select("id", F.coalesce("missing", F.lit(False)).alias("missing"))
+
+
+FOLD = """WITH RECURSIVE t AS (SELECT n_nationkey AS k, n_regionkey AS g FROM nation),
+b(k, i, x, y, w, h, cx, cy, cw, ch, turn) AS (
+  SELECT k, 1, 100.0::DOUBLE * g, 50.0::DOUBLE * k, 800.0::DOUBLE, 600.0::DOUBLE, 10.0::DOUBLE, 20.0::DOUBLE, 400.0::DOUBLE, 200.0::DOUBLE, 0.0::DOUBLE FROM t
+  UNION ALL SELECT k, i + 1, x + (ox + ow / 2 - cx) * sx - nw / 2, y + (oy + oh / 2 - cy) * sy - nh / 2, nw, nh, 0, 0, ow * 2, oh, turn + r
+  FROM (SELECT *, CASE WHEN q THEN ow * sy ELSE ow * sx END AS nw, CASE WHEN q THEN oh * sx ELSE oh * sy END AS nh
+    FROM (SELECT *, w / cw AS sx, h / ch AS sy, 20.0::DOUBLE + k AS ox, 30.0::DOUBLE AS oy, 100.0::DOUBLE AS ow, 40.0::DOUBLE AS oh, 90.0::DOUBLE * (k % 4) AS r, (k % 2) = 1 AS q FROM b WHERE i < 4)))
+SELECT k, x, y, w, h, turn FROM b WHERE i = 4"""
+
+
+@query(FOLD)
+def transform_fold(spark, d):
+    """Three boxes in each other, from quarter turn to quarter turn."""
+    k, g = F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double")
+    names = ("x", "y", "w", "h", "cx", "cy", "cw", "ch", "turn")
+    frame = lambda *v: F.struct(*[(x if isinstance(x, F.Column) else F.lit(float(x))).alias(n) for n, x in zip(names, v, strict=True)])
+    own = frame(k + 20, 30, 100, 40, 0, 0, 200, 40, 90 * (k % 4))
+    chain = F.array(frame(g * 100, k * 50, 800, 600, 10, 20, 400, 200, 0), own, own, own)
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), tree.fold_frames(chain).alias("f"))
+    return rows.select("k", *[F.col(f"f.{c}").alias(c) for c in ("x", "y", "w", "h", "turn")])
 
 
 @query("SELECT vec_id, CAST((i - 1) // 8 AS INTEGER) AS r, CAST((i - 1) % 8 AS INTEGER) AS c, embedding[i] AS v FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)")
@@ -363,16 +501,27 @@ def unnest_grid(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "v")).select("vec_id", F.floor(F.col("p") / 8).cast("int").alias("r"), (F.col("p") % 8).alias("c"), "v")
 
 
-@query("SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 90000 * 0.5) AS BIGINT)), ',') AS scaled FROM embeddings")
+@query("""SELECT vec_id, list_transform(range(8), lambda p: CASE WHEN p = 0 THEN CASE WHEN red > 0 THEN CAST(floor(100000 * (1 - red / 100000)) AS BIGINT) END
+    ELSE CASE WHEN red > 0 AND p * 400 > 1000 THEN CAST(floor(p * 400 * (1 - red / 100000)) AS BIGINT) ELSE p * 400 END END) AS spacing,
+  list_transform(sizes, lambda s: CAST(round_even(s * (scale / 100000), 0) AS BIGINT)) AS sizes
+FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 4000) AS BIGINT)) AS sizes, CASE WHEN label < 5 THEN 62500 ELSE 100000 END AS scale, CASE WHEN label < 3 THEN 20000 ELSE 0 END AS red FROM embeddings)""")
 def nested_scale(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * 90000 * 0.5).cast("string")), ",").alias("scaled"))
+    """Eight paragraphs of eight sizes at a font scale and a line reduction."""
+    rows = table(spark, d, "embeddings")
+    size = lambda x: F.floor(F.abs(x.cast("double")) * 4000).cast("long")
+    paragraphs = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.struct(
+        F.when(p > 0, p * 400).cast("long").alias("spacing"), F.transform(F.slice("embedding", p * 8 + 1, F.lit(8)), size).alias("sizes")))
+    out = rows.select("vec_id", X.autofit(paragraphs, F.when(F.col("label") < 5, 62500), F.when(F.col("label") < 3, 20000)).alias("p"))
+    return out.select("vec_id", F.transform("p", lambda p: p["spacing"]).alias("spacing"), F.flatten(F.transform("p", lambda p: p["sizes"])).alias("sizes"))
 
 
-@query("""SELECT vec_id, string_agg(CASE WHEN embedding[i] > embedding[i + 1] THEN '1' ELSE '0' END, '' ORDER BY i) AS bits
-FROM (SELECT *, unnest(range(1, 64)) AS i FROM embeddings) WHERE i % 8 <> 0 GROUP BY vec_id""")
-def perceptual_bits(spark, d):
-    at = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: i % 8 != 7)
-    return table(spark, d, "embeddings").select("vec_id", F.array_join(F.transform(at, lambda i: F.when(F.element_at("embedding", i + 1) > F.element_at("embedding", i + 2), "1").otherwise("0")), "").alias("bits"))
+@query("""WITH b AS (SELECT vec_id, i, CASE WHEN embedding[i] > embedding[i + 1] THEN 1 ELSE 0 END AS bit, row_number() OVER (PARTITION BY vec_id ORDER BY i) - 1 AS k
+  FROM (SELECT *, unnest(range(1, 64)) AS i FROM embeddings) WHERE i % 8 <> 0),
+h AS (SELECT vec_id, k // 4 AS n, sum(bit << (3 - k % 4)) AS v FROM b GROUP BY ALL)
+SELECT vec_id, string_agg(substr('0123456789abcdef', CAST(v AS INTEGER) + 1, 1), '' ORDER BY n) AS hash FROM h GROUP BY vec_id""")
+def perceptual_hash(spark, d):
+    """Each vector as a grid of 8 x 8, so 56 bits in 14 digits."""
+    return table(spark, d, "embeddings").select("vec_id", raster.difference_hash_of(F.col("embedding"), 8, 8).alias("hash"))
 
 
 @query("""SELECT vec_id, CAST(min((i - 1) // 8) AS INTEGER) AS top, CAST(max((i - 1) // 8) AS INTEGER) AS bottom, CAST(min((i - 1) % 8) AS INTEGER) AS "left", CAST(max((i - 1) % 8) AS INTEGER) AS "right"
@@ -387,9 +536,6 @@ SELECT vec_id, count(*) AS reached FROM f GROUP BY vec_id""")
 def flood_fill(spark, d):
     import numpy as np
 
-
-    from lamina.operators import raster
-
     @F.pandas_udf("long")
     def reached(v: pd.Series) -> pd.Series:
         return v.map(lambda x: int(raster.flood_from_border(np.asarray(x, float).reshape(8, 8) < 0).sum()))
@@ -397,30 +543,205 @@ def flood_fill(spark, d):
     return table(spark, d, "embeddings").select("vec_id", reached("embedding").alias("reached")).where("reached > 0")
 
 
-@query("""SELECT a.vec_id, CAST(sum(CAST(floor((CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * 1000) AS BIGINT)) AS BIGINT) AS delta
-FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings) a JOIN embeddings b ON b.vec_id = a.vec_id + 1 GROUP BY a.vec_id""")
+@query("""WITH p AS (SELECT vec_id, CAST((i - 1) // 3 AS INTEGER) AS pos, (i - 1) % 3 AS c, CAST(floor(abs(CAST(embedding[i] AS DOUBLE)) * 600) AS INTEGER) % 256 AS v FROM (SELECT *, unnest(range(1, 64)) AS i FROM embeddings)),
+z AS (SELECT d.vec_id, d.pos, d.c, d.v AS dark, greatest(0, least(255, l.v - d.v)) AS delta FROM p d JOIN p l ON l.vec_id = d.vec_id + 1 AND l.pos = d.pos AND l.c = d.c),
+a AS (SELECT vec_id, pos, max(dark) FILTER (c = 0) AS red, 255 - CAST(median(delta) AS INTEGER) AS alpha FROM z GROUP BY ALL)
+SELECT vec_id, pos, alpha, CASE WHEN alpha <= 0 THEN 0 ELSE greatest(0, least(255, CAST(round_even(red * 255 / alpha, 0) AS INTEGER))) END AS red FROM a""")
 def matte_zip(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
-    pair = rows.join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
-    delta = F.zip_with("embedding", "other", lambda a, b: F.floor((a.cast("double") - b.cast("double")) * 1000))
-    return pair.select("vec_id", F.aggregate(delta, F.lit(0).cast("long"), lambda s, x: s + x).alias("delta"))
+    """Alpha and red of pixels from two pictures, on black and on white, joined by place; a vector is a picture of 21 pixels."""
+    value = lambda x: (F.floor(F.abs(x.cast("double")) * 600) % 256).cast("int")
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.transform(F.slice("embedding", 1, 63), value)).alias("p", "v"))
+    pixels = rows.groupBy("vec_id", F.floor(F.col("p") / 3).cast("int").alias("pos")).agg(*[F.max(F.when(F.col("p") % 3 == c, F.col("v"))).alias(f"c{c}") for c in range(3)])
+    light = pixels.select((F.col("vec_id") - 1).alias("vec_id"), "pos", *[F.col(f"c{c}").alias(f"l{c}") for c in range(3)])
+    both = pixels.join(light, ["vec_id", "pos"])
+    out = both.withColumn("alpha", raster.matte_alpha([F.col(f"c{c}") for c in range(3)], [F.col(f"l{c}") for c in range(3)]))
+    return out.select("vec_id", "pos", "alpha", raster.matte_colour(F.col("c0"), F.col("alpha")).alias("red"))
 
 
-@query(None)
-def unzip_and_parse(spark, d):
-    """Packages made of documents, one a document, read back through the package source."""
+# --- Markdown notes -----------------------------------------------------------------
+
+NOTES = [
+    (1, "# T\n\nIntro.\n\n## Table of Contents\n\n- [A](#a)\n  - [B *x*](#b-x)\n- [A](#a-1)\n\n## A\n\n![one](m/one.png) and ![](<m/two b.png>)\n\n### B *x*\n\n<img src='m/three.svg' alt='3'> <img alt=\"none\">\n\n## A\n\n<IMG SRC=\"m/four.png\">\n```\n## not a heading\n```\n"),
+    (2, "# T\n\n## B\n\ntext"),
+    (3, "## Table of Contents\n\n- [Later](#later)\n\nmore\n\n# T\n\n## Later\n"),
+    (4, "# T\n\none\n\ntwo\n\n## Table of Contents\n\n- [X](#x)\n- [Y](#y)\n\n## X\n\n### Y\n"),
+    (5, "# T\n\n## Early\n\n## Table of Contents\n\n- [Early](#early)\n\n## Table of Contents\n"),
+    (6, None), (7, ""),
+]
 
 
-    from lamina.sources import package
+def _notes(spark):
+    return spark.createDataFrame(NOTES, "id long, body string")
+
+
+@query("""SELECT CAST(id AS BIGINT) AS id, pos, alt, target, error FROM (VALUES (1, 0, 'one', 'm/one.png', NULL), (1, 1, '', 'm/two b.png', NULL), (1, 2, '3', 'm/three.svg', NULL), (1, 3, NULL, NULL, 'missing src'),
+(1, 4, '', 'm/four.png', NULL), (1, 4, NULL, NULL, 'missing alt')) t(id, pos, alt, target, error)""")
+def image_references(spark, d):
+    found, errors = X.image_references(_notes(spark), "id", "body")
+    none = F.lit(None).cast("string")
+    return found.withColumn("error", none).unionByName(errors.select("id", "pos", none.alias("alt"), none.alias("target"), "error"))
+
+
+@query("""SELECT CAST(id AS BIGINT) AS id, rule FROM (VALUES (2, 'toc missing'), (3, 'title'), (3, 'toc holds more than its list'), (4, 'introduction'), (4, 'toc nesting'),
+(5, 'toc duplicated'), (5, 'content before toc'), (7, 'toc missing')) t(id, rule)""")
+def contents_rules(spark, d):
+    return X.contents_findings(_notes(spark).where("body is not null"), "id", "body")
+
+
+@query("""SELECT CAST(id AS BIGINT) AS id, level, title, slug FROM (VALUES (1, 1, 'T', 't'), (1, 2, 'Table of Contents', 'table-of-contents'), (1, 2, 'A', 'a'), (1, 3, 'B x', 'b-x'), (1, 2, 'A', 'a-1')) t(id, level, title, slug)""")
+def heading_rows(spark, d):
+    return X.headings(_notes(spark).where("id = 1"), "id", "body").select("id", "level", "title", "slug")
+
+
+@query("""SELECT * FROM (VALUES (1, 1, 2, 'x' || chr(10) || chr(10) || 'y' || chr(10), NULL), (2, 0, 0, NULL, 'slide heading'), (3, 0, 0, NULL, 'source title'), (4, 0, 0, NULL, 'temporary preview'),
+(5, 0, 0, 'z' || chr(10), NULL)) t(id, previews, provenance, final, error)""")
+def finalised_notes(spark, d):
+    drafts = [
+        (1, "\n<!-- lecture-source-slide: 3 -->\nx\n<!-- lecture-source-preview:start -->\n![t](p.png)\n<!-- lecture-source-preview:end -->\n\n\n\n<!-- source-slides: 1 -->\ny\n\n"),
+        (2, "## Slide 3: x\n"), (3, "# Speaker Notes: y\n"), (4, "![Temporary full-slide reference](a.png)\n"), (5, "z"),
+    ]
+    return X.finalised(spark.createDataFrame(drafts, "id int, t string"), "t").select("id", "previews", "provenance", "final", "error")
+
+
+LEDGER = """notes
+| Section | Slide | Candidate visual | Disposition | Reason / QA result |
+| --- | :---: | --- | --- | --- |
+| a | 1 | Chart | keep | one.png is fine |
+| a | 1 | Chart two | `Keep` | fine |
+| a | 2 | Photo | omit | rendering failed |
+| b | 3 | Pipeline diagram | omit | a table says it |
+| b | 3 | Pipeline diagram | omit | a list; no instructional spatial relationship |
+| b | 4 | Map | retry | later |
+| b | 5 | Map | maybe | |
+| b | 6 |
+
+| c | 7 | Not in the table | retry | |
+"""
+
+
+@query("""SELECT * FROM (VALUES (5, 'keep without asset'), (6, 'omit cites render failure'), (7, 'diagram replaced by text'), (9, 'unresolved retry'), (10, 'bad disposition'), (11, 'too few columns')) t(row, rule)""")
+def ledger_rules(spark, d):
+    rows = X.ledger_rows(spark.createDataFrame([(1, LEDGER), (2, "no table"), (3, None)], "id int, t string"), "id", "t")
+    return X.ledger_findings(rows).select("row", "rule")
+
+
+@query("SELECT * FROM (VALUES ('one.png', 'kept, not linked'), ('two.png', 'linked, not kept')) t(asset, problem)")
+def ledger_link_rules(spark, d):
+    rows = X.ledger_rows(spark.createDataFrame([(1, LEDGER)], "id int, t string"), "id", "t")
+    return X.ledger_links(rows, spark.createDataFrame([(1, "two.png")], "id int, asset string"), "id").select("asset", "problem")
+
+
+# --- packages -----------------------------------------------------------------------
+
+DECKS = "s AS (SELECT 'n' || s_nationkey AS deck, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INTEGER) AS n, s_suppkey AS k, s_name AS name, CAST(round(s_acctbal * 100) AS BIGINT) AS cents FROM supplier)"
+
+
+@query(f"WITH {DECKS} SELECT deck, n AS slide_no, n AS ordinal, name AS title FROM s")
+def deck_slides(spark, d):
+    return D.slides(supplier_parts(spark, d)).select("deck", "slide_no", "ordinal", "title")
+
+
+@query(f"WITH {DECKS} SELECT deck, n AS slide_no, 'About ' || name || '.' || chr(10) || 'It pays.' AS notes FROM s")
+def deck_notes(spark, d):
+    """Notes end with the slide's number, which is no part of them."""
+    return D.notes(supplier_parts(spark, d))
+
+
+@query(f"""WITH {DECKS} SELECT deck, string_agg('## ' || name || chr(10) || chr(10) || 'About ' || name || '.' || chr(10) || 'It pays.' || chr(10), chr(10) ORDER BY n) AS markdown FROM s GROUP BY deck""")
+def deck_notes_markdown(spark, d):
+    return D.notes_markdown(supplier_parts(spark, d))
+
+
+@query(f"""WITH {DECKS} SELECT deck, n AS slide_no, r, c, t AS text, CASE WHEN r = 1 AND c = 1 THEN 2 ELSE 1 END AS grid_span, CAST(CASE c WHEN 0 THEN 1 ELSE 2 END AS DOUBLE) AS col_width, CAST(CASE r WHEN 0 THEN 0.5 ELSE 1 END AS DOUBLE) AS row_height
+FROM (SELECT deck, n, unnest([{{'r': 0, 'c': 0, 't': 'key'}}, {{'r': 0, 'c': 1, 't': 'cents'}}, {{'r': 1, 'c': 0, 't': CAST(k AS VARCHAR)}}, {{'r': 1, 'c': 1, 't': CAST(cents AS VARCHAR)}}], recursive := true) FROM s)""")
+def deck_tables(spark, d):
+    cells = D.table_cells(package.slide_parts(supplier_parts(spark, d)))
+    return cells.select("deck", _number("part").alias("slide_no"), "r", "c", "text", "grid_span", "col_width", "row_height")
+
+
+def _number(column: str):
+    return F.regexp_extract(column, r"(\d+)\.xml$", 1).cast("int")
+
+
+@query(f"""WITH {DECKS} SELECT deck, n AS chart, 'COLUMN_STACKED' AS chart_type, series, pt, category, value, raw FROM (SELECT deck, n, unnest([
+{{'series': 'money', 'pt': 0, 'category': 'a', 'value': CAST(cents AS DOUBLE), 'raw': CAST(cents AS VARCHAR)}}, {{'series': 'money', 'pt': 1, 'category': 'b', 'value': CAST(k AS DOUBLE), 'raw': CAST(k AS VARCHAR)}},
+{{'series': 'rest', 'pt': 0, 'category': 'a', 'value': NULL, 'raw': 'n/a'}}, {{'series': 'rest', 'pt': 1, 'category': 'b', 'value': 0, 'raw': NULL}}], recursive := true) FROM s)""")
+def deck_charts(spark, d):
+    return D.charts(supplier_parts(spark, d)).select("deck", _number("part").alias("chart"), "chart_type", "series", "pt", "category", "value", "raw")
+
+
+@query(f"""WITH {DECKS} SELECT deck, n AS slide_no, '40' AS connector_id, 'begin' AS side, '21' AS target_id, CAST(k % 4 AS INTEGER) AS site FROM s UNION ALL SELECT deck, n, '40', 'end', '11', 2 FROM s WHERE k % 3 <> 0""")
+def deck_connectors(spark, d):
+    """An end at a shape that is not on the slide goes."""
+    found = D.connections(package.slide_parts(supplier_parts(spark, d)))
+    return found.select("deck", _number("part").alias("slide_no"), "connector_id", "side", "target_id", "site")
+
+
+@query(f"""WITH {DECKS}, b AS (SELECT deck, n, '2' AS shape_id, 0.5 AS x, 0.2 AS y, 9.0 AS w, 1.0 AS h, NULL AS turn FROM s UNION ALL SELECT deck, n, '3', 0.5, 1.5, 9.0, 5.0, NULL FROM s
+UNION ALL SELECT deck, n, '4', 1.0, 6.0, 2.0, 0.5, NULL FROM s UNION ALL SELECT deck, n, '11', 1.0, 1.0, 2.0, 1.0, 0 FROM s
+UNION ALL SELECT deck, n, '21', 1.0 + k % 5 * 0.2 + 0.4 - w / 2, 1.1 + 0.3 - h / 2, w, h, CASE WHEN k % 2 = 1 THEN 90 ELSE 0 END FROM (SELECT *, CASE WHEN k % 2 = 1 THEN 0.8 ELSE 0.4 END AS w, CASE WHEN k % 2 = 1 THEN 0.1 ELSE 0.2 END AS h FROM s))
+SELECT deck, n AS slide_no, shape_id, CAST(round(x * 1000) AS BIGINT) AS x, CAST(round(y * 1000) AS BIGINT) AS y, CAST(round(w * 1000) AS BIGINT) AS w, CAST(round(h * 1000) AS BIGINT) AS h, CAST(turn AS DOUBLE) AS turn FROM b""")
+def deck_frames(spark, d):
+    """Boxes in thousandths of an inch: inherited from layout or master, or through two scaled groups and a quarter turn."""
+    found = D.placed_shapes(supplier_parts(spark, d)).where(F.col("shape_id").isin("2", "3", "4", "11", "21"))
+    return found.select("deck", _number("part").alias("slide_no"), "shape_id", *[F.round(F.col(c) * 1000).cast("long").alias(c) for c in "xywh"], "turn")
+
+
+@query(f"""WITH {DECKS} SELECT deck, n AS slide_no, shape_id, para, run, size, bold, italic, color FROM (SELECT deck, n, unnest([
+{{'shape_id': '2', 'para': 0, 'run': 0, 'size': 44, 'bold': true, 'italic': NULL, 'color': NULL}}, {{'shape_id': '3', 'para': 0, 'run': 0, 'size': 32, 'bold': NULL, 'italic': true, 'color': '112233'}},
+{{'shape_id': '3', 'para': 0, 'run': 1, 'size': CAST(k % 10 + 10 AS INTEGER), 'bold': NULL, 'italic': true, 'color': '112233'}}, {{'shape_id': '3', 'para': 1, 'run': 0, 'size': 28, 'bold': true, 'italic': NULL, 'color': NULL}},
+{{'shape_id': '4', 'para': 0, 'run': 0, 'size': 9, 'bold': NULL, 'italic': NULL, 'color': NULL}}], recursive := true) FROM s)""")
+def deck_styles(spark, d):
+    """Fonts of runs: their own, else of the layout's placeholder, else of the master."""
+    return D.styled_runs(supplier_parts(spark, d)).select("deck", _number("part").alias("slide_no"), "shape_id", "para", "run", "size", "bold", "italic", "color")
+
+
+USAGES = f"""{DECKS}, u AS (SELECT deck, n, k, '21' AS shape_id, 'm' || k % 4 || '.png' AS media, concat_ws(',', CASE WHEN k % 2 = 1 THEN 'rotated' END, 'in a group') AS reasons FROM s
+UNION ALL SELECT deck, n, k, '50', CASE WHEN k % 7 <> 0 THEN 'm' || k % 4 || '.png' END, CASE WHEN k % 3 = 0 THEN 'cropped' ELSE '' END FROM s),
+v AS (SELECT *, CASE WHEN media <> 'm3.png' THEN sha256('picture ' || CAST(substr(media, 2, 1) AS INTEGER) // 2) END AS sha256, CASE WHEN media IS NULL THEN 'no resolvable media' WHEN media = 'm3.png' THEN 'media part is missing' END AS problem FROM u)"""
+
+
+@query(f"WITH {USAGES} SELECT deck, n AS slide_no, shape_id, media, sha256, reasons, problem FROM v")
+def deck_pictures(spark, d):
+    return D.picture_usages(supplier_parts(spark, d)).select("deck", "slide_no", "shape_id", "media", "sha256", F.array_join("reasons", ",").alias("reasons"), "problem")
+
+
+@query(f"""WITH {USAGES}, a AS (SELECT deck, sha256, count(*) AS uses, list_sort(list_distinct(list(n))) AS slides, arg_min(struct_pack(n := n, media := media, shape_id := shape_id, k := k), n * 100 + CAST(shape_id AS INTEGER)) AS f FROM v WHERE problem IS NULL GROUP BY deck, sha256),
+b AS (SELECT *, CASE WHEN f.shape_id = '50' AND f.k % 5 = 0 THEN 'big-chart' WHEN f.shape_id = '50' AND f.k % 2 = 1 THEN 'logo' ELSE left(f.media, 2) END AS stem FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY deck, stem ORDER BY f.n, f.shape_id) AS i FROM b)
+SELECT deck, sha256, stem || CASE WHEN i > 1 THEN '-' || i ELSE '' END || '.png' AS file, uses, slides, f.n AS first_slide FROM c""")
+def deck_assets(spark, d):
+    return D.assets(D.picture_usages(supplier_parts(spark, d)))
+
+
+@query(f"""WITH {USAGES}, a AS (SELECT deck, sha256, count(*) AS n FROM v WHERE problem IS NULL GROUP BY deck, sha256), x AS (SELECT deck, count(*) AS assets, CAST(sum(n) AS BIGINT) AS resolved, count(*) FILTER (n > 1) AS repeated FROM a GROUP BY deck)
+SELECT v.deck, coalesce(max(assets), 0) AS assets, coalesce(max(resolved), 0) AS resolved, count(problem) AS unresolved, count(*) AS total, coalesce(max(repeated), 0) AS repeated FROM v LEFT JOIN x ON x.deck = v.deck GROUP BY v.deck""")
+def deck_asset_summary(spark, d):
+    return D.asset_summary(D.picture_usages(supplier_parts(spark, d)))
+
+
+@query(f"""WITH {DECKS} SELECT deck, n AS slide_no, thread, reply, author, author_id, '2024-01-0' || (k % 9 + 1) || 'T00:00:00' AS created, text, resolved FROM (SELECT deck, n, k, unnest([
+{{'thread': 0, 'reply': 0, 'author': 'Ann', 'author_id': NULL, 'text': 'see ' || name, 'resolved': false}}, {{'thread': 0, 'reply': 1, 'author': 'Ben', 'author_id': 'a2', 'text': 'reply to ' || name, 'resolved': false}},
+{{'thread': 0, 'reply': 2, 'author': 'Ann', 'author_id': NULL, 'text': 'thanks', 'resolved': false}}, {{'thread': 1, 'reply': 0, 'author': 'Unknown', 'author_id': NULL, 'text': 'done', 'resolved': k % 2 = 1}}], recursive := true) FROM s)""")
+def deck_comments(spark, d):
+    return D.comments(supplier_parts(spark, d))
+
+
+@query("SELECT doc_id AS deck, 2 AS shapes, CAST(length(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b-\x1f]', ' ', 'g')) AS BIGINT) AS n_chars, 1 AS digests FROM documents")
+def unzip_and_parse(spark, d):
+    """A deck a document, with two slides that differ in spelling only: their canonical digests are equal."""
 
     @F.pandas_udf("binary")
     def built(text: pd.Series) -> pd.Series:
         from xml.sax.saxutils import escape
 
-        page = '<p:sld xmlns:p="p" xmlns:a="a"><p:cSld><p:spTree><p:sp><p:nvSpPr><p:cNvPr id="2" name="Title"/></p:nvSpPr><p:txBody><a:p><a:r><a:t>{}</a:t></a:r></a:p></p:txBody></p:sp></p:spTree></p:cSld></p:sld>'
+        head = '<p:sld xmlns:p="p" xmlns:a="a"><p:cSld><p:spTree><p:sp><p:nvSpPr><p:cNvPr {}/></p:nvSpPr><p:txBody><a:p><a:r><a:t>{}</a:t></a:r></a:p></p:txBody></p:sp></p:spTree></p:cSld></p:sld>'
         clean = text.fillna("").str.replace("[\x00-\x08\x0b-\x1f]", " ", regex=True)
-        return clean.map(lambda t: package.write_package([("[Content_Types].xml", b"<Types/>"), ("ppt/slides/slide1.xml", page.format(escape(t)).encode())]))
-
-    decks = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("deck"), built("text").alias("body"))
-    shapes = package.shapes(package.slide_parts(package.parts(decks, r"^ppt/slides/")))
-    return shapes.select("deck", "shape_id", "name", F.length("text").cast("long").alias("n_chars"))
+        spelt = ('id="2" name="Title"', "name='Title'  id='2'")
+        return clean.map(lambda t: package.write_package([("[Content_Types].xml", b"<Types/>"), *((f"ppt/slides/slide{i}.xml", head.format(x, escape(t)).encode()) for i, x in enumerate(spelt, 1))]))
+
+    decks = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("deck"), built("text").alias("body"))
+    slides = package.slide_parts(package.parts(decks, r"^ppt/slides/"))
+    shapes = package.shapes(slides).groupBy("deck").agg(F.count("*").cast("int").alias("shapes"), F.max(F.length("text")).cast("long").alias("n_chars"))
+    digests = package.slide_digests(slides).groupBy("deck").agg(F.count_distinct("digest").cast("int").alias("digests"))
+    return shapes.join(digests, "deck").select(F.col("deck").cast("long").alias("deck"), "shapes", F.coalesce("n_chars", F.lit(0).cast("long")).alias("n_chars"), "digests")

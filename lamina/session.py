@@ -1,8 +1,11 @@
-"""Session settings the plans rely on."""
+"""Session settings the plans rely on, and tables in the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -32,3 +35,31 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables; a file or a folder of Parquet parts."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from spark.checkpoint.dir.
+
+    Where it is unset a temporary folder is set, but only on a local master:
+    on a cluster that would be a folder of one machine.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = "file://" + tempfile.mkdtemp(prefix="lamina-")
+    spark.sparkContext.setCheckpointDir(base)
+    spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage is cut, loss of executors costs nothing."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
