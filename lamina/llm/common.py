@@ -1,43 +1,16 @@
-"""Shared storage, components and small helpers of the training-data operators."""
+"""Components and small helpers of the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Runs of the six ASCII white-space characters.
-SPACE = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir.
+from lamina.session import fresh_path, shared_dir, stored
 
-    Where it is unset a temporary folder is set, but only on a local master:
-    on a cluster that would be a folder of one machine.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="lamina-")
-    spark.sparkContext.setCheckpointDir(base)
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+__all__ = ["SPACE", "components", "fresh_path", "path_of", "remove", "remove_table", "shared_dir", "stored"]
 
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, loss of executors costs nothing."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Runs of the six ASCII white-space characters.
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def remove(spark: SparkSession, path: str) -> None:
