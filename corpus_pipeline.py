@@ -24,12 +24,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     # written before it is summed: a join right below an aggregate cannot be split where a digest is hot
     found = stored(exact_dedup.exact_dedup(docs).select("doc_id", "text_sha256", "kept"), "decisions")
     dropped = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
-    dropped = dropped.where("not kept or rows > 1").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"), "kept")
-    marked = docs.withColumn("digest_", exact_dedup.text_digest(F.col("text")))
-    joined = marked.join(dropped.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest_") == F.col("digest")), "left")
+    dropped = dropped.where("not kept or rows > 1").select(F.col("doc_id").alias("its_id"), F.col("text_sha256").alias("its_digest"), "kept")
+    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), exact_dedup.text_digest(F.col("text")).alias("digest"))
+    joined = marked.join(dropped.hint("merge"), F.col("id").eqNullSafe(F.col("its_id")) & (F.col("digest") == F.col("its_digest")), "left")
     # rows that are repeated whole: one of them stays
-    once = joined.where("kept").dropDuplicates(["doc_id", "digest_"])
-    return joined.where("kept is null").select(docs.columns).unionByName(once.select(docs.columns))
+    once = joined.where("kept").dropDuplicates(["id", "digest"])
+    return joined.where("kept is null").select("row.*").unionByName(once.select("row.*"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +44,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Equal rows are shown alike, at the places of the first of them.
     """
-    places = mixing.mixture(docs).where("copy = 0").groupBy("doc_id", "source", "digest").agg(F.collect_list(F.struct("block_id", "block_order")).alias("places_"))
-    names = {"doc_id": "id_", "source": "from_", "digest": "digest_"}
-    same = F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("from_")) & (mixing.text_key(F.col("text")) == F.col("digest_"))
-    rows = docs.join(places.withColumnsRenamed(names).hint("merge"), same).select(*docs.columns, F.explode("places_").alias("place_"))
-    order = [F.col("place_.block_id"), F.col("place_.block_order")]
+    shown = mixing.mixture(docs).where("copy = 0").select(F.col("doc_id").alias("its_id"), F.col("source").alias("its_source"), F.col("digest").alias("its_digest"), F.struct("block_id", "block_order").alias("place"))
+    places = shown.groupBy("its_id", "its_source", "its_digest").agg(F.collect_list("place").alias("places"))
+    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("from"), mixing.text_key(F.col("text")).alias("digest"))
+    same = F.col("id").eqNullSafe(F.col("its_id")) & F.col("from").eqNullSafe(F.col("its_source")) & (F.col("digest") == F.col("its_digest"))
+    rows = marked.join(places.hint("merge"), same).select("row", F.explode("places").alias("place"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(docs.columns)
+    return rows.repartitionByRange(n, "place").sortWithinPartitions("place").select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
