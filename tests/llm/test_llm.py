@@ -311,23 +311,6 @@ def test_embeddings_of_any_scale(spark):
     assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
 
 
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    base = "/root/testdata/sf0.001"
-    kept = corpus_pipeline.drop_exact_copies(spark, docs, base).cache()
-    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t)
-    rows = docs.collect()
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(min(q.doc_id for q in rows if norm(q.text) == t) for t in {norm(r.text) for r in rows})
-    near = corpus_pipeline.drop_near_copies(spark, docs, base)
-    want = brute_components([(r.doc_id, r.text) for r in rows], 5, 80)
-    assert sorted(r.doc_id for r in near.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
-    mixed = corpus_pipeline.mix_sources(spark, docs, base)
-    assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} == {r.doc_id for r in rows}
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "n-gram Jaccard join", "mixing sources", "packing"]
-
-
 @pytest.mark.parametrize("name", ["op6_vector_packing", "op8_html_extraction"])
 def test_queries_without_sql(spark, name):
     from lamina.llm.queries import QUERIES
