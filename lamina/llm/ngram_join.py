@@ -47,10 +47,11 @@ GROUP = 256
 KEYS = 3
 SLOTS = 1 << 22
 SLICE = 1 << 16
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 RANGE_TOKENS = 2_000_000
 GROUP_TOKENS = 4_000_000
 QUERIES = 256
+HOT = 4096
 BITMAP = 1 << 25
 MASK = np.uint64((1 << 40) - 1)
 # Odd multipliers, one for each word of a shingle or key of a class; any will do.
@@ -257,8 +258,12 @@ def matrix(nodes: DataFrame, percent: int, ranges: int) -> DataFrame:
     """nodes(doc_id, m, piece, piece_size, grp, lead) -> q, mq, grp, shared, lo, hi.
 
     One row for a query and a group with shared leading shingles, and its number in one range of shingles.
+    A shingle that the sketch counts more than HOT times is in no range: its classes are dealt into parts of
+    half of HOT, and each two parts are a task of their own. What stands in one part is met in several
+    of these tasks and counted by each, so the shared shingles of a pair are then too many, never too few.
     """
     fields = ["doc_id", "m", "piece", "piece_size", "grp"]
+    hot_level = int(8 * np.log2(1 + HOT)) + 1
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,17 +275,30 @@ def matrix(nodes: DataFrame, percent: int, ranges: int) -> DataFrame:
             token[:, :6] = six
             token = token.view(np.uint64)[:, 0]
             owner = np.repeat(np.arange(len(raw), dtype=np.int32), [len(r) // 6 for r in raw])
-            where = (mixed(token) % np.uint64(ranges)).astype(np.int32)
-            order = np.argsort(where, kind="stable")
-            cut = np.searchsorted(where[order], np.arange(ranges + 1))
+            where = (mixed(token) % np.uint64(ranges)).astype(np.int64)
             info = [batch.column(c).to_numpy() for c in fields]
+            level = (token >> np.uint64(40)).astype(np.int64)
+            hot = np.flatnonzero(level >= hot_level)
+            which, entry = [where[level < hot_level]], [np.flatnonzero(level < hot_level)]
+            if len(hot):
+                # parts follow the shingle's level, which is the same wherever the shingle stands
+                parts = np.ceil(2 * 2 ** (level[hot] / 8) / HOT).astype(np.int64)
+                part = (mixed(info[0].astype(np.int64).view(np.uint64)[owner[hot]]) % parts.astype(np.uint64)).astype(np.int64)
+                each = np.repeat(np.arange(len(hot)), parts)
+                other = np.arange(len(each)) - np.repeat(np.cumsum(parts) - parts, parts)
+                pair = np.minimum(part[each], other) * (1 << 20) + np.maximum(part[each], other)
+                code = mixed(token[hot][each] * np.uint64(ODD[0]) + pair.astype(np.uint64)) >> np.uint64(2)
+                which.append(code.astype(np.int64) + ranges)
+                entry.append(hot[each])
+            which, entry = np.concatenate(which), np.concatenate(entry)
+            order = np.argsort(which, kind="stable")
+            which, entry = which[order], entry[order]
+            cut = np.append(np.flatnonzero(np.append(True, which[1:] != which[:-1])), len(which))
             rows = []
-            for r in range(ranges):
-                own = order[cut[r] : cut[r + 1]]
-                if len(own):
-                    docs, local = np.unique(owner[own], return_inverse=True)
-                    rows.append((r, six[own].tobytes(), local.astype(np.int32).tobytes(), np.stack([c[docs] for c in info]).astype(np.int64).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["range", "tokens", "owners", "docs"])
+            for a, z in zip(cut[:-1], cut[1:], strict=True):
+                docs, local = np.unique(owner[entry[a:z]], return_inverse=True)
+                rows.append((int(which[a]), six[entry[a:z]].tobytes(), local.astype(np.int32).tobytes(), np.stack([c[docs] for c in info]).astype(np.int64).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["range", "tokens", "owners", "docs"])
 
     def look_up(t: pa.Table) -> pa.Table:
         tokens, owners, infos, base = [], [], [], 0
@@ -357,7 +375,7 @@ def matrix(nodes: DataFrame, percent: int, ranges: int) -> DataFrame:
             cols = list(out[0]) if out else [np.empty(0, np.int64)] * 6
         return pa.table(dict(zip(["q", "mq", "grp", "shared", "lo", "hi"], [pa.array(c.astype(np.int64)) for c in cols], strict=True)))
 
-    rows = nodes.select(*fields, "lead").mapInArrow(spread, "range int, tokens binary, owners binary, docs binary")
+    rows = nodes.select(*fields, "lead").mapInArrow(spread, "range long, tokens binary, owners binary, docs binary")
     return rows.groupBy("range").applyInArrow(look_up, "q long, mq long, grp long, shared long, lo long, hi long")
 
 

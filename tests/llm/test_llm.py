@@ -383,9 +383,10 @@ def test_html_surges_and_dives(before, after, want):
     assert html_text.main_text(before + "".join(f"<p>{t}</p>" for t in LONG_PARAGRAPHS) + after) == "\n\n".join(want)
 
 
-def test_ngram_join_over_several_ranges_groups_and_salts(spark, monkeypatch):
+@pytest.mark.parametrize("hot, rule", [(8, (4, 85)), (4096, (5, 80))])
+def test_ngram_join_over_several_ranges_groups_and_salts(spark, monkeypatch, hot, rule):
     """The limits are made small, so that every way of splitting is taken."""
-    for name, value in (("GROUP", 4), ("QUERIES", 4), ("RANGE_TOKENS", 400)):
+    for name, value in (("GROUP", 4), ("QUERIES", 4), ("RANGE_TOKENS", 400), ("HOT", hot)):
         monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(12)
     words = [f"v{i}" for i in range(300)]
@@ -397,9 +398,8 @@ def test_ngram_join_over_several_ranges_groups_and_salts(spark, monkeypatch):
         for _ in range(rng.randrange(0, 4)):
             text[rng.randrange(len(text))] = rng.choice(words)
         rows.append((i, " ".join(shared + text if i % 3 == 0 else text)))
-    for words_, percent in ((4, 85), (5, 80)):
-        got = ngram_join.similar_documents(documents(spark, rows), words_, percent).collect()
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, words_, percent)
+    got = ngram_join.similar_documents(documents(spark, rows), *rule).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, *rule)
 
 
 @pytest.mark.parametrize("percent", [80, 85])
