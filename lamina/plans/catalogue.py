@@ -21,6 +21,7 @@ from lamina.plans.decks import supplier_parts
 from lamina.session import fresh_path, table
 from lamina.sources import deck as D
 from lamina.sources import package
+from lamina.sources import styles as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -218,7 +219,9 @@ def repeated_lines(spark, d):
 
 @query(f"WITH {LINES} SELECT lang, line, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, length(line), line) AS k FROM c) WHERE k = 1")
 def footer_top1(spark, d):
-    return R.latest(_repeated(spark, d), ["lang"], [F.desc("n"), F.length("line"), F.col("line")], 1)
+    """One row a language, by an aggregate that is combined before the shuffle."""
+    first = F.min_by(F.struct("line", "n"), F.struct(-F.col("n"), F.length("line"), "line")).alias("first")
+    return _repeated(spark, d).groupBy("lang").agg(first).select("lang", "first.line", "first.n")
 
 
 @query(f"WITH {LINES} SELECT doc_id, count(*) AS kept FROM l ANTI JOIN c ON l.lang = c.lang AND l.line = c.line GROUP BY doc_id")
@@ -501,9 +504,9 @@ def unnest_grid(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "v")).select("vec_id", F.floor(F.col("p") / 8).cast("int").alias("r"), (F.col("p") % 8).alias("c"), "v")
 
 
-@query("""SELECT vec_id, list_transform(range(8), lambda p: CASE WHEN p = 0 THEN CASE WHEN red > 0 THEN CAST(floor(100000 * (1 - red / 100000)) AS BIGINT) END
-    ELSE CASE WHEN red > 0 AND p * 400 > 1000 THEN CAST(floor(p * 400 * (1 - red / 100000)) AS BIGINT) ELSE p * 400 END END) AS spacing,
-  list_transform(sizes, lambda s: CAST(round_even(s * (scale / 100000), 0) AS BIGINT)) AS sizes
+@query("""SELECT vec_id, array_to_string(list_transform(list_transform(range(8), lambda p: CASE WHEN p = 0 THEN CASE WHEN red > 0 THEN CAST(floor(100000 * (1 - red / 100000)) AS BIGINT) END
+    ELSE CASE WHEN red > 0 AND p * 400 > 1000 THEN CAST(floor(p * 400 * (1 - red / 100000)) AS BIGINT) ELSE p * 400 END END), lambda x: coalesce(CAST(x AS VARCHAR), '-')), ',') AS spacing,
+  array_to_string(list_transform(sizes, lambda s: CAST(CAST(round_even(s * (scale / 100000), 0) AS BIGINT) AS VARCHAR)), ',') AS sizes
 FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 4000) AS BIGINT)) AS sizes, CASE WHEN label < 5 THEN 62500 ELSE 100000 END AS scale, CASE WHEN label < 3 THEN 20000 ELSE 0 END AS red FROM embeddings)""")
 def nested_scale(spark, d):
     """Eight paragraphs of eight sizes at a font scale and a line reduction."""
@@ -512,7 +515,8 @@ def nested_scale(spark, d):
     paragraphs = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.struct(
         F.when(p > 0, p * 400).cast("long").alias("spacing"), F.transform(F.slice("embedding", p * 8 + 1, F.lit(8)), size).alias("sizes")))
     out = rows.select("vec_id", X.autofit(paragraphs, F.when(F.col("label") < 5, 62500), F.when(F.col("label") < 3, 20000)).alias("p"))
-    return out.select("vec_id", F.transform("p", lambda p: p["spacing"]).alias("spacing"), F.flatten(F.transform("p", lambda p: p["sizes"])).alias("sizes"))
+    joined = lambda v: F.array_join(v.cast("array<string>"), ",", "-")
+    return out.select("vec_id", joined(F.transform("p", lambda p: p["spacing"])).alias("spacing"), joined(F.flatten(F.transform("p", lambda p: p["sizes"]))).alias("sizes"))
 
 
 @query("""WITH b AS (SELECT vec_id, i, CASE WHEN embedding[i] > embedding[i + 1] THEN 1 ELSE 0 END AS bit, row_number() OVER (PARTITION BY vec_id ORDER BY i) - 1 AS k
@@ -693,7 +697,7 @@ def deck_frames(spark, d):
 {{'shape_id': '4', 'para': 0, 'run': 0, 'size': 9, 'bold': NULL, 'italic': NULL, 'color': NULL}}], recursive := true) FROM s)""")
 def deck_styles(spark, d):
     """Fonts of runs: their own, else of the layout's placeholder, else of the master."""
-    return D.styled_runs(supplier_parts(spark, d)).select("deck", _number("part").alias("slide_no"), "shape_id", "para", "run", "size", "bold", "italic", "color")
+    return D.styled_runs(supplier_parts(spark, d)).where("placeholder").select("deck", _number("part").alias("slide_no"), "shape_id", "para", "run", "size", "bold", "italic", "color")
 
 
 USAGES = f"""{DECKS}, u AS (SELECT deck, n, k, '21' AS shape_id, 'm' || k % 4 || '.png' AS media, concat_ws(',', CASE WHEN k % 2 = 1 THEN 'rotated' END, 'in a group') AS reasons FROM s
@@ -709,9 +713,9 @@ def deck_pictures(spark, d):
 @query(f"""WITH {USAGES}, a AS (SELECT deck, sha256, count(*) AS uses, list_sort(list_distinct(list(n))) AS slides, arg_min(struct_pack(n := n, media := media, shape_id := shape_id, k := k), n * 100 + CAST(shape_id AS INTEGER)) AS f FROM v WHERE problem IS NULL GROUP BY deck, sha256),
 b AS (SELECT *, CASE WHEN f.shape_id = '50' AND f.k % 5 = 0 THEN 'big-chart' WHEN f.shape_id = '50' AND f.k % 2 = 1 THEN 'logo' ELSE left(f.media, 2) END AS stem FROM a),
 c AS (SELECT *, row_number() OVER (PARTITION BY deck, stem ORDER BY f.n, f.shape_id) AS i FROM b)
-SELECT deck, sha256, stem || CASE WHEN i > 1 THEN '-' || i ELSE '' END || '.png' AS file, uses, slides, f.n AS first_slide FROM c""")
+SELECT deck, sha256, stem || CASE WHEN i > 1 THEN '-' || i ELSE '' END || '.png' AS file, uses, array_to_string(slides, ',') AS slides, f.n AS first_slide FROM c""")
 def deck_assets(spark, d):
-    return D.assets(D.picture_usages(supplier_parts(spark, d)))
+    return D.assets(D.picture_usages(supplier_parts(spark, d))).withColumn("slides", F.array_join(F.col("slides").cast("array<string>"), ","))
 
 
 @query(f"""WITH {USAGES}, a AS (SELECT deck, sha256, count(*) AS n FROM v WHERE problem IS NULL GROUP BY deck, sha256), x AS (SELECT deck, count(*) AS assets, CAST(sum(n) AS BIGINT) AS resolved, count(*) FILTER (n > 1) AS repeated FROM a GROUP BY deck)
@@ -727,6 +731,48 @@ def deck_comments(spark, d):
     return D.comments(supplier_parts(spark, d))
 
 
+@query(f"""WITH {DECKS} SELECT deck, n AS slide_no, shape_id, kind, color, alpha, mods, fill_color, line_color, width, dash, tail, image, effects, angle, stops FROM (SELECT deck, n, unnest([
+{{'shape_id': '60', 'kind': 'solid', 'color': 'scheme:accent' || (k % 6 + 1), 'alpha': CAST(k % 10 / 10.0 AS DOUBLE), 'mods': '75000', 'fill_color': 'theme_accent' || (k % 6 + 1), 'line_color': '0000FF',
+  'width': CAST(k % 4 + 1 AS DOUBLE), 'dash': 'dash', 'tail': 'arrow', 'image': NULL, 'effects': 'outerShdw:prst:black:' || k || ',glow:FFFFFF:40000', 'angle': NULL, 'stops': NULL}},
+{{'shape_id': '61', 'kind': 'gradient', 'color': NULL, 'alpha': NULL, 'mods': NULL, 'fill_color': NULL, 'line_color': 'none', 'width': NULL, 'dash': NULL, 'tail': NULL, 'image': NULL, 'effects': '',
+  'angle': CAST((360 - k % 4 * 90) % 360 AS DOUBLE), 'stops': 'FFFFFF@0,EEEEEE@' || k % 100}},
+{{'shape_id': '62', 'kind': 'image', 'color': NULL, 'alpha': NULL, 'mods': NULL, 'fill_color': NULL, 'line_color': NULL, 'width': NULL, 'dash': NULL, 'tail': NULL, 'image': 'm' || k % 4 || '.png', 'effects': '', 'angle': NULL, 'stops': NULL}},
+{{'shape_id': '63', 'kind': 'none', 'color': NULL, 'alpha': NULL, 'mods': NULL, 'fill_color': 'none', 'line_color': NULL, 'width': NULL, 'dash': NULL, 'tail': NULL, 'image': NULL, 'effects': '', 'angle': NULL, 'stops': NULL}},
+{{'shape_id': '64', 'kind': NULL, 'color': NULL, 'alpha': NULL, 'mods': NULL, 'fill_color': 'ABCDEF', 'line_color': 'theme_accent1', 'width': NULL, 'dash': NULL, 'tail': NULL, 'image': NULL, 'effects': '', 'angle': NULL, 'stops': NULL}}], recursive := true) FROM s)""")
+def deck_fills(spark, d):
+    parts = supplier_parts(spark, d)
+    rows = S.filled_with(S.effective(S.shape_styles(package.slide_parts(parts))), parts).where(F.col("shape_id").between("60", "64"))
+    effects = F.array_join(F.transform("effects", lambda x: F.concat_ws(":", x["kind"], x["color"]["base"], F.coalesce(x["values"]["blurRad"], x["values"]["rad"]))), ",")
+    stops = F.array_join(F.transform("fill.stops", lambda x: F.concat_ws("@", x["color"]["base"], F.round(x["at"] * 100).cast("int").cast("string"))), ",")
+    return rows.select(
+        "deck", _number("part").alias("slide_no"), "shape_id", F.col("fill.kind").alias("kind"), F.col("fill.color.base").alias("color"), F.col("fill.color.alpha").alias("alpha"), F.col("fill.color.mods")["lumMod"].alias("mods"),
+        "fill_color", "line_color", F.col("line.width").alias("width"), F.col("line.dash").alias("dash"), F.col("line.tail.type").alias("tail"), "image", effects.alias("effects"), F.col("fill.angle").alias("angle"), stops.alias("stops"))
+
+
+@query(f"""WITH {DECKS} SELECT deck, n AS slide_no, 'preset' AS kind, 'rect' AS preset, 'val ' || k AS adjustment, CAST(0.1 AS DOUBLE) AS left_margin, 'ctr' AS anchor, 'normAutofit' AS autofit, 62500 AS font_scale FROM s""")
+def deck_geometry(spark, d):
+    rows = S.shape_styles(package.slide_parts(supplier_parts(spark, d))).where("shape_id = '60'")
+    return rows.select("deck", _number("part").alias("slide_no"), "geometry.kind", "geometry.preset", F.col("geometry.adjustments")[0]["value"].alias("adjustment"),
+                       F.col("body.margins")["l"].alias("left_margin"), "body.anchor", "body.autofit", "body.font_scale")
+
+
+@query(f"""WITH {DECKS} SELECT deck, n AS slide_no, 'ctr' AS align, 90000 AS line_percent, CAST(k % 5 + 6 AS DOUBLE) AS before_points, 'autoNum' AS bullet, 'arabicPeriod' AS bullet_text, CAST(k AS INTEGER) AS bullet_start, 'go' || chr(10) || 'on' AS text,
+CASE WHEN k % 2 = 1 THEN 'https://example.org/a' ELSE 'linked' END AS url FROM s""")
+def deck_paragraphs(spark, d):
+    parts = supplier_parts(spark, d)
+    rows = S.paragraphs(package.slide_parts(parts)).where("shape_id = '60'")
+    links = S.hyperlinks(rows, parts).select("deck", "part", "url")
+    return rows.join(links, ["deck", "part"]).select(
+        "deck", _number("part").alias("slide_no"), "align", F.col("line.percent").alias("line_percent"), F.col("before.points").alias("before_points"), "bullet", "bullet_text", "bullet_start", "text", "url")
+
+
+@query(f"WITH {DECKS} SELECT DISTINCT deck, 'footer' AS kind, NULL AS slide_no, 'Foot' AS text FROM s UNION ALL SELECT deck, 'number', n, '70' FROM s WHERE k % 2 = 1 OR n = 77")
+def deck_footers(spark, d):
+    parts = supplier_parts(spark, d)
+    numbers = S.literal_numbers(parts).select("deck", F.lit("number").alias("kind"), "slide_no", F.col("shape_id").alias("text"))
+    return S.footers(parts).select("deck", F.lit("footer").alias("kind"), F.lit(None).cast("int").alias("slide_no"), F.col("footer").alias("text")).unionByName(numbers)
+
+
 @query("SELECT doc_id AS deck, 2 AS shapes, CAST(length(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b-\x1f]', ' ', 'g')) AS BIGINT) AS n_chars, 1 AS digests FROM documents")
 def unzip_and_parse(spark, d):
     """A deck a document, with two slides that differ in spelling only: their canonical digests are equal."""

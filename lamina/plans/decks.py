@@ -61,7 +61,9 @@ TITLE, BODY, OTHER = '<p:ph type="title"/>', '<p:ph type="body" idx="1"/>', '<p:
 LAYOUT = slide(
     shape(2, "T", body(), TITLE, box(457200, 182880, 8229600, 914400)),
     shape(3, "B", body(style=level(1, ' i="1"', '<a:solidFill><a:srgbClr val="112233"/></a:solidFill>')), BODY),
-    shape(4, "O", body(), OTHER, box(914400, 5486400, 1828800, 457200)), kind="sldLayout")
+    shape(4, "O", body(), OTHER, box(914400, 5486400, 1828800, 457200)), *(shape(5 + i, "F", body(words(run(t))), frame=box(0, 5943600, 914400, 274320)) for i, t in enumerate(("Foot", "A longer foot", "\u2039#\u203a"))),
+    kind="sldLayout")
+LAYOUT2 = slide(*(shape(2 + i, "F", body(words(run(t))), frame=box(0, y, 914400, 274320)) for i, (t, y) in enumerate((("Foot", 5943600), ("A longer foot", 6035040), ("once", 5943600), ("\u2039#\u203a", 5943600), ("Top", 0)))), kind="sldLayout")
 MASTER = slide(
     shape(2, "T", body(), TITLE, box(0, 0, 914400, 914400)), shape(3, "B", body(), '<p:ph type="body"/>', box(457200, 1371600, 8229600, 4572000)),
     kind="sldMaster", after=f"<p:txStyles><p:titleStyle>{level(1, ' sz=\"4400\" b=\"1\"')}</p:titleStyle><p:bodyStyle>{level(1, ' sz=\"3200\"')}{level(2, ' sz=\"2800\"')}</p:bodyStyle></p:txStyles>")
@@ -82,6 +84,16 @@ def parts_of(n: int, key: int, name: str, cents: int) -> list[tuple[str, bytes]]
         shape(2, "Title", body(words(run(name))), TITLE), shape(3, "Body", body(words(run("pays "), run(str(cents), f' sz="{key % 10 * 100 + 1000}"')), words(run("more", ' b="1"'), level=1)), BODY),
         shape(4, "Other", body(words(run("x", ' sz="900"'))), OTHER), outer, frame, line,
         picture(50, "Logo" if key % 2 else "Picture 3", "rId2" if key % 7 else "rId9", box(0, 0, 914400, 914400), "Big Chart.png" if key % 5 == 0 else "", '<a:srcRect l="10"/>' if key % 3 == 0 else ""))
+    looks = [
+        f'<a:prstGeom prst="rect"><a:avLst><a:gd name="adj" fmla="val {key}"/></a:avLst></a:prstGeom><a:solidFill><a:schemeClr val="accent{key % 6 + 1}"><a:alpha val="{key % 10 * 10000}"/><a:lumMod val="75000"/></a:schemeClr></a:solidFill><a:ln w="{key % 4 * 12700 + 12700}"><a:solidFill><a:srgbClr val="0000FF"/></a:solidFill><a:prstDash val="dash"/><a:tailEnd w="lg"/></a:ln><a:effectLst><a:outerShdw blurRad="{key}"><a:prstClr val="black"/></a:outerShdw><a:glow/></a:effectLst>',
+        f'<a:gradFill><a:gsLst><a:gs pos="0"><a:srgbClr val="FFFFFF"/></a:gs><a:gs pos="{key % 100 * 1000}"><a:sysClr val="window" lastClr="EEEEEE"/></a:gs></a:gsLst><a:lin ang="{key % 4 * 5400000}"/></a:gradFill><a:ln><a:noFill/></a:ln>',
+        '<a:blipFill><a:blip r:embed="rId2"/><a:tile/></a:blipFill>', "<a:noFill/>", ""]
+    theme = '<p:style><a:lnRef idx="2"><a:schemeClr val="accent1"/></a:lnRef><a:fillRef idx="1"><a:srgbClr val="ABCDEF"/></a:fillRef></p:style>'
+    listed = '<a:p><a:pPr algn="ctr" marL="342900"><a:lnSpc><a:spcPct val="90000"/></a:lnSpc><a:spcBef><a:spcPts val="{}"/></a:spcBef><a:buAutoNum type="arabicPeriod" startAt="{}"/></a:pPr><a:r><a:rPr><a:hlinkClick r:id="{}"/></a:rPr><a:t>go</a:t></a:r><a:br/><a:r><a:t>on</a:t></a:r></a:p>'
+    text = f'<p:txBody><a:bodyPr lIns="91440" anchor="ctr"><a:normAutofit fontScale="62500"/></a:bodyPr>{listed.format(key % 5 * 100 + 600, key, "rId6" if key % 2 else "rId77")}</p:txBody>'
+    page = page.replace(b"</p:spTree>", "".join(
+        [shape(60 + i, "Look", (theme if i == 4 else "") + (text if i == 0 else ""), frame=box(0, 0, 914400, 914400) + x) for i, x in enumerate(looks)]
+        + [shape(70, "Number", body(words(run(str(n if key % 2 else 77)))), frame=box(8229600, 5943600, 457200, 274320))]).encode() + b"</p:spTree>")
     notes = slide(shape(2, "N", body(words(run(f"About {name}.")), words(run(f"It pays.{n}"))), '<p:ph type="body" idx="1"/>'), shape(3, "S", body(words(run(str(n)))), '<p:ph type="sldNum"/>'), kind="notes")
     point = lambda i, v: f'<c:pt idx="{i}"><c:v>{v}</c:v></c:pt>'
     one = lambda title, a, b, cat="": f"<c:ser><c:tx><c:v>{title}</c:v></c:tx>{cat}<c:val>{point(0, a)}{point(1, b)}</c:val></c:ser>"
@@ -93,13 +105,14 @@ def parts_of(n: int, key: int, name: str, cents: int) -> list[tuple[str, bytes]]
         (f"ppt/slides/slide{n}.xml", page), (f"ppt/notesSlides/notesSlide{n}.xml", notes), (f"ppt/charts/chart{n}.xml", chart), (f"ppt/comments/comment{n}.xml", threads),
         (f"ppt/slides/_rels/slide{n}.xml.rels", relations(
             ("rId1", "slideLayout", "../slideLayouts/slideLayout1.xml"), ("rId2", "image", f"../media/m{key % 4}.png"), ("rId3", "notesSlide", f"../notesSlides/notesSlide{n}.xml"),
-            ("rId4", "chart", f"../charts/chart{n}.xml"), ("rId5", "comments", f"../comments/comment{n}.xml")))]
+            ("rId4", "chart", f"../charts/chart{n}.xml"), ("rId5", "comments", f"../comments/comment{n}.xml"),
+            ("rId6", "hyperlink", "https://example.org/a")))]
 
 
 def deck_of(rows: list[tuple[int, int, str, int]]) -> bytes:
     """A package of slides (n, key, name, cents). m3.png is linked, but not there."""
     parts = [p for r in rows for p in parts_of(*r)]
-    parts += [("[Content_Types].xml", b"<Types/>"), ("ppt/authors.xml", AUTHORS), ("ppt/slideLayouts/slideLayout1.xml", LAYOUT), ("ppt/slideMasters/slideMaster1.xml", MASTER),
+    parts += [("[Content_Types].xml", b"<Types/>"), ("ppt/authors.xml", AUTHORS), ("ppt/slideLayouts/slideLayout1.xml", LAYOUT), ("ppt/slideLayouts/slideLayout2.xml", LAYOUT2), ("ppt/slideMasters/slideMaster1.xml", MASTER),
               ("ppt/slideLayouts/_rels/slideLayout1.xml.rels", relations(("rId1", "slideMaster", "../slideMasters/slideMaster1.xml")))]
     return package.write_package(parts + [(f"ppt/media/m{i}.png", f"picture {i // 2}".encode()) for i in range(3)])
 

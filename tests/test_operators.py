@@ -149,7 +149,7 @@ def test_package(spark):
     raw, parts = deck_parts(spark)
     assert zipfile.ZipFile(io.BytesIO(raw)).namelist()[0] == "[Content_Types].xml"
     links = {(r.src_part[-11:], r.rid): (r.target, r.type) for r in package.relationships(parts).collect()}
-    assert links["slide12.xml", "rId2"] == ("ppt/media/m3.png", "image") and len(links) == 11
+    assert links["slide12.xml", "rId2"] == ("ppt/media/m3.png", "image") and len(links) == 13
     assert [(r.slide_no, r.ordinal, r.title) for r in deck.slides(parts).orderBy("ordinal").collect()] == [(3, 1, "Fifteen"), (12, 2, "Seven & co")]
     assert package.slide_digests(package.slide_parts(parts)).select("digest").distinct().count() == 2
     rows = {(r.part[-6:], r.shape_id): r for r in package.shapes(package.slide_parts(parts)).collect()}
@@ -206,3 +206,24 @@ def test_catalogue_runs_and_matches_duckdb(spark):
         assert sorted(cols) == sorted(got.columns)
         assert sorted(map(str, (tuple(r[c] for c in cols) for r in got.collect()))) == sorted(map(str, result.fetchall())), name
     assert entry.entry(spark).count() > 0
+
+
+def test_colours_fills_and_lines():
+    import xml.etree.ElementTree as ET
+
+    from lamina.sources import styles
+
+    read = lambda inner, fn: fn(ET.fromstring(f'<x xmlns:a="a">{inner}</x>'))
+    colours = {
+        '<a:scrgbClr r="100000" g="50000" b="0"/>': "FF7F00", '<a:sysClr val="windowText"/>': "sys:windowText", '<a:hslClr hue="1" sat="2" lum="3"/>': "hsl:1,2,3", '<a:prstClr val="red"/>': "prst:red",
+        '<a:schemeClr val="bg1"/><a:srgbClr val="010203"/>': "010203", "": None}
+    for inner, want in colours.items():
+        got = read(inner, styles.color_of)
+        assert (got and got["base"]) == want and (got is None or got["alpha"] is None)
+    assert read('<a:srgbClr val="1"><a:alpha val="x"/><a:tint val="5"/></a:srgbClr>', styles.color_of) == {"base": "1", "alpha": None, "mods": {"tint": "5"}}
+    pattern = read('<a:pattFill prst="dots"><a:fgClr><a:srgbClr val="1"/></a:fgClr><a:bgClr><a:srgbClr val="2"/></a:bgClr></a:pattFill>', styles.fill_of)
+    assert (pattern["kind"], pattern["pattern"], pattern["color"]["base"], pattern["back"]["base"]) == ("pattern", "dots", "1", "2")
+    assert read("", styles.fill_of) is None and read("", styles.line_of) is None and read("<a:tailEnd/>", styles.line_of)["tail"]["type"] == "arrow"
+    assert read('<a:custGeom/><a:ln><a:ext uri="{u}"><a:prstGeom prst="cloud"/></a:ext></a:ln>', styles.geometry_of) == {"kind": "sketch", "preset": "cloud", "adjustments": []}
+    assert read("<a:custGeom/>", styles.geometry_of)["kind"] == "custom" and read("", styles.geometry_of) is None
+    assert [e["kind"] for e in read('<a:softEdge/><a:glow rad="7"/>', styles.effects_of)] == ["glow", "softEdge"]
