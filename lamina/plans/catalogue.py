@@ -18,7 +18,7 @@ from lamina.operators import raster, tree
 from lamina.operators import relational as R
 from lamina.operators import text as X
 from lamina.plans.decks import supplier_parts
-from lamina.session import fresh_path, table
+from lamina.session import fresh_path, stored, table
 from lamina.sources import deck as D
 from lamina.sources import package
 from lamina.sources import styles as S
@@ -62,13 +62,13 @@ def digest_state(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("size"))
 
 
-DIFF = """WITH o AS (SELECT doc_id, sha256(text) AS h FROM documents), n AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN upper(text) ELSE text END) AS h FROM documents{where})
+DIFF = """WITH o AS (SELECT doc_id, sha256(text) AS h FROM documents), n AS (SELECT doc_id, sha256(CASE WHEN lang = 'de' THEN upper(text) ELSE text END) AS h FROM documents{where})
 SELECT n.doc_id FROM n LEFT JOIN o USING (doc_id) WHERE (SELECT count(*) FROM o) <> (SELECT count(*) FROM n) OR n.h IS DISTINCT FROM o.h"""
 
 
 def _diff(spark, d, keep: str):
     old = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    new = table(spark, d, "documents").where(keep).select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.upper("text")).otherwise(F.col("text")), 256).alias("digest"))
+    new = table(spark, d, "documents").where(keep).select("doc_id", F.sha2(F.when(F.col("lang") == "de", F.upper("text")).otherwise(F.col("text")), 256).alias("digest"))
     return R.snapshot_diff(old, new, "doc_id", "digest")
 
 
@@ -77,9 +77,9 @@ def snapshot_diff(spark, d):
     return _diff(spark, d, "true")
 
 
-@query(DIFF.format(where=" WHERE doc_id > 0"))
+@query(DIFF.format(where=" WHERE lang <> 'fr'"))
 def snapshot_diff_structural(spark, d):
-    return _diff(spark, d, "doc_id > 0")
+    return _diff(spark, d, "lang <> 'fr'")
 
 
 @query("""SELECT conv_id, sha256(string_agg(k, chr(10) ORDER BY turn)) AS digest FROM (SELECT conv_id, turn, role || '|' || text AS k FROM conversations) GROUP BY conv_id""")
@@ -731,6 +731,32 @@ def deck_comments(spark, d):
     return D.comments(supplier_parts(spark, d))
 
 
+@query(f"""WITH {DECKS}, g AS (SELECT count(*) FILTER (s_acctbal < 0) AS gone FROM supplier WHERE s_nationkey = 3),
+e AS (SELECT deck, n, cents < 0 AS edited FROM s WHERE deck <> 'n3' OR (SELECT gone FROM g) = 0
+  UNION ALL SELECT 'n3', CAST(row_number() OVER (ORDER BY k) AS INTEGER), true FROM s WHERE deck = 'n3' AND cents >= 0 AND (SELECT gone FROM g) > 0)
+SELECT deck, n AS ordinal, what FROM (SELECT deck, n, unnest(['slide', 'comments', 'target']) AS what, edited FROM e) WHERE edited AND (what <> 'target' OR n <> 2)
+UNION SELECT deck, n, 'target' FROM e WHERE n = 1""")
+def deck_changes(spark, d):
+    """Slides and comments that an edit changed, and the slides whose comments are read again: also the first ones, which have
+    a pending thread, but not the second ones, which are done."""
+    old, new = (stored(D.state(supplier_parts(spark, d, edited)), "state") for edited in (False, True))
+    pending = new.where("ordinal = 1").select("deck", F.lit(1).alias("slide_no"))
+    found = {"slide": D.changed(old, new, "slide_digest"), "comments": D.changed(old, new, "comment_digest"), "target": D.comment_targets(old, new, pending, new.where("ordinal = 2"))}
+    rows = [v.withColumn("what", F.lit(k)) for k, v in found.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(f"""WITH {DECKS}, t AS (SELECT deck, n, k, unnest(['Ann', 'Unknown']) AS author FROM s)
+SELECT deck, n AS slide_no, author, CASE WHEN author = 'Ann' THEN 'see ' || (SELECT name FROM s x WHERE x.k = t.k) ELSE 'done' END AS text, false AS pending FROM t UNION ALL SELECT deck, n, 'Zoe', 'new', true FROM s""")
+def deck_merged_comments(spark, d):
+    """A pending thread that the deck has already, its time written otherwise, goes; a new one stays."""
+    found = D.comments(supplier_parts(spark, d))
+    heads = found.where("reply = 0 and author = 'Ann'")
+    pending = heads.select("deck", "slide_no", F.explode(F.array(F.struct(F.col("author"), F.concat("created", F.lit(".000Z")).alias("created"), F.lit("old").alias("text")), F.struct(
+        F.lit("Zoe").alias("author"), F.col("created"), F.lit("new").alias("text")))).alias("t")).select("deck", "slide_no", "t.*")
+    return D.merged_comments(found, pending).drop("created")
+
+
 @query(f"""WITH {DECKS} SELECT deck, n AS slide_no, shape_id, kind, color, alpha, mods, fill_color, line_color, width, dash, tail, image, effects, angle, stops FROM (SELECT deck, n, unnest([
 {{'shape_id': '60', 'kind': 'solid', 'color': 'scheme:accent' || (k % 6 + 1), 'alpha': CAST(k % 10 / 10.0 AS DOUBLE), 'mods': '75000', 'fill_color': 'theme_accent' || (k % 6 + 1), 'line_color': '0000FF',
   'width': CAST(k % 4 + 1 AS DOUBLE), 'dash': 'dash', 'tail': 'arrow', 'image': NULL, 'effects': 'outerShdw:prst:black:' || k || ',glow:FFFFFF:40000', 'angle': NULL, 'stops': NULL}},

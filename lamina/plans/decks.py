@@ -117,9 +117,12 @@ def deck_of(rows: list[tuple[int, int, str, int]]) -> bytes:
     return package.write_package(parts + [(f"ppt/media/m{i}.png", f"picture {i // 2}".encode()) for i in range(3)])
 
 
-def supplier_parts(spark, sf_dir: str) -> DataFrame:
-    """deck, part, body of the decks."""
-    rows = table(spark, sf_dir, "supplier").select(
+def supplier_parts(spark, sf_dir: str, edited: bool = False) -> DataFrame:
+    """deck, part, body of the decks; edited: names of suppliers with a debt end with a mark, and debtors of nation 3 are gone."""
+    suppliers = table(spark, sf_dir, "supplier")
+    if edited:
+        suppliers = suppliers.where("s_nationkey <> 3 or s_acctbal >= 0").withColumn("s_name", F.when(F.col("s_acctbal") < 0, F.concat("s_name", F.lit("!"))).otherwise(F.col("s_name")))
+    rows = suppliers.select(
         "s_nationkey", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("n"), "s_suppkey", "s_name", F.round(F.col("s_acctbal") * 100).cast("long").alias("cents"))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:

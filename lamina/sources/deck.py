@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.operators import relational
-from lamina.operators.text import sanitised
-from lamina.sources.package import child, local, nodes, relationships, rows_of, shapes, slide_parts, text_of
+from lamina.operators.text import iso_millis, sanitised
+from lamina.sources.package import child, local, nodes, relationships, rows_of, shapes, slide_digests, slide_parts, text_of
 
 EMU_PER_INCH = 914400
 FONT = ("size", "bold", "italic", "font", "color")
@@ -420,3 +420,44 @@ def comment_digests(found: DataFrame) -> DataFrame:
     threads = found.groupBy("deck", "slide_no", "thread").agg(F.transform(F.array_sort(F.collect_list(F.struct("reply", line.alias("l")))), lambda x: x["l"]).alias("lines"))
     return threads.groupBy("deck", "slide_no").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.array_join("lines", "\n")))), 256).alias("digest"))
 
+
+def merged_comments(found: DataFrame, pending: DataFrame) -> DataFrame:
+    """Threads of decks and those of pending(deck, slide_no, author, created, text) that no deck has yet: deck, slide_no,
+    author, created, text, pending.
+
+    A thread is known by its author and time, and times are compared by value: writers drop a fraction of zero.
+    """
+    built = found.where("reply = 0")
+    known = built.select("deck", "slide_no", "author", iso_millis(F.col("created")).alias("at"))
+    rest = relational.carry_over(pending.withColumn("at", iso_millis(F.col("created"))), known, ["deck", "slide_no", "author", "at"])
+    names = ["deck", "slide_no", "author", "created", "text"]
+    return built.select(*names, F.lit(False).alias("pending")).unionByName(rest.select(*names, F.lit(True).alias("pending")))
+
+
+# --- state and changes ----------------------------------------------------------------
+
+
+def state(parts: DataFrame) -> DataFrame:
+    """deck, ordinal, slide_digest, comment_digest ('' without comments): what tells whether a slide was edited."""
+    digests = slide_digests(slide_parts(parts)).withColumnRenamed("digest", "slide_digest")
+    said = comment_digests(comments(parts)).select("deck", F.col("slide_no").alias("ordinal"), F.col("digest").alias("comment_digest"))
+    rows = slides(parts).select("deck", "part", "ordinal").join(digests, ["deck", "part"]).join(said, ["deck", "ordinal"], "left")
+    return rows.select("deck", "ordinal", "slide_digest", F.coalesce("comment_digest", F.lit("")).alias("comment_digest"))
+
+
+def changed(old: DataFrame, new: DataFrame, digest: str) -> DataFrame:
+    """deck, ordinal of the slides of new whose digest is not that of old at the same place.
+
+    All slides of a deck whose number of slides differs, none of a deck that old does not have.
+    """
+    size = lambda rows, name: rows.groupBy("deck").agg(F.count("*").alias(name))
+    decks = size(old, "n_old").join(size(new, "n_new"), "deck")
+    pairs = new.select("deck", "ordinal", F.col(digest).alias("now")).join(old.select("deck", "ordinal", F.col(digest).alias("before")), ["deck", "ordinal"], "left")
+    return pairs.join(decks, "deck").where((F.col("n_old") != F.col("n_new")) | ~F.col("now").eqNullSafe(F.col("before"))).select("deck", "ordinal")
+
+
+def comment_targets(old: DataFrame, new: DataFrame, pending: DataFrame, done: DataFrame) -> DataFrame:
+    """deck, ordinal of the slides whose comments are to be read again: changed ones and those with pending threads, less those done."""
+    place = ["deck", F.col("slide_no").alias("ordinal")]
+    wanted = changed(old, new, "comment_digest").unionByName(pending.select(*place)).distinct()
+    return wanted.join(done.select("deck", "ordinal").distinct(), ["deck", "ordinal"], "left_anti")
