@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.session import table
+from lamina.session import stored, table
 from lamina.sources import package
 
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -129,4 +129,5 @@ def supplier_parts(spark, sf_dir: str, edited: bool = False) -> DataFrame:
         slides = [(int(r.n), int(r.s_suppkey), r.s_name, int(r.cents)) for r in frame.sort_values("n").itertuples()]
         return pd.DataFrame({"deck": [f"n{int(frame.s_nationkey.iloc[0])}"], "body": [deck_of(slides)]})
 
-    return package.parts(rows.groupBy("s_nationkey").applyInPandas(build, "deck string, body binary"))
+    # written, as readers go through the parts several times
+    return stored(package.parts(rows.groupBy("s_nationkey").applyInPandas(build, "deck string, body binary")), "deck-parts")
