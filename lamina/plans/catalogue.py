@@ -20,7 +20,7 @@ from lamina.operators import text as X
 from lamina.plans.decks import supplier_parts
 from lamina.session import fresh_path, stored, table
 from lamina.sources import deck as D
-from lamina.sources import package
+from lamina.sources import emit, package
 from lamina.sources import styles as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -731,6 +731,23 @@ def deck_comments(spark, d):
     return D.comments(supplier_parts(spark, d))
 
 
+@query(f"""WITH {DECKS} SELECT deck, n AS slide_no, CASE WHEN shape_id IN ('11', '21') THEN '1' || shape_id ELSE shape_id END AS shape_id, 'n' || shape_id AS name, op, CASE shape_id WHEN '2' THEN name WHEN '3' THEN 'pays ' || cents || chr(10) || 'more' WHEN '4' THEN 'x' WHEN '30' THEN 'key' || chr(10) || 'cents' || chr(10) || k || chr(10) || cents END AS text
+FROM s, (VALUES ('2', 'sp'), ('3', 'sp'), ('4', 'sp'), ('10', 'grpSp'), ('11', 'sp'), ('20', 'grpSp'), ('21', 'pic'), ('30', 'graphicFrame'), ('40', 'cxnSp'), ('50', 'pic')) t(shape_id, op)""")
+def deck_redrawn(spark, d):
+    """Decks drawn anew from their operations, two ids changed on the way, written as packages and read back."""
+    parts = supplier_parts(spark, d)
+    ops = stored(emit.draw_ops(parts), "draw-ops")
+    ids = ops.where(F.col("shape_id").isin("11", "21")).select("deck", "slide_no", F.col("shape_id").alias("old"), F.concat(F.lit("1"), "shape_id").alias("new"))
+    new = emit.slide_parts_of(emit.rename_ids(ops, ids))
+    written = emit.write_packages(emit.replaced(parts, new), fresh_path(spark, "decks"))
+    files = package.read_packages(spark, [r.path for r in written.select("path").collect()])
+    back = package.parts(files.select(F.regexp_extract("deck", r"([^/]+)\.pptx$", 1).alias("deck"), "body"))
+    kept = D.connections(package.slide_parts(back)).where("side = 'begin' and target_id = '121'").select("deck", "part")
+    shapes = package.shapes(package.slide_parts(back)).join(kept, ["deck", "part"], "left_semi")
+    old = F.when(F.col("shape_id").isin("111", "121"), F.substring("shape_id", 2, 9)).otherwise(F.col("shape_id"))
+    return shapes.where(old.cast("int") <= 50).select("deck", _number("part").alias("slide_no"), "shape_id", F.concat(F.lit("n"), old).alias("name"), F.col("type").alias("op"), "text")
+
+
 @query(f"""WITH {DECKS}, g AS (SELECT count(*) FILTER (s_acctbal < 0) AS gone FROM supplier WHERE s_nationkey = 3),
 e AS (SELECT deck, n, cents < 0 AS edited FROM s WHERE deck <> 'n3' OR (SELECT gone FROM g) = 0
   UNION ALL SELECT 'n3', CAST(row_number() OVER (ORDER BY k) AS INTEGER), true FROM s WHERE deck = 'n3' AND cents >= 0 AND (SELECT gone FROM g) > 0)

@@ -175,7 +175,7 @@ def connections(slide_rows: DataFrame) -> DataFrame:
 # --- text and inherited styles --------------------------------------------------------
 
 
-def _font(e) -> tuple:
+def font_of(e) -> tuple:
     """size (points), bold, italic, font, color of run properties; None where not given."""
     if e is None:
         return (None,) * 5
@@ -202,13 +202,13 @@ def runs(slide_rows: DataFrame) -> DataFrame:
             for i, p in enumerate(_all(text, "p")):
                 props = child(p, "pPr")
                 level = int(props.get("lvl") or 0) if props is not None else 0
-                layers = [_font(child(props, "defRPr") if props is not None else None), _font(child(text, "lstStyle", f"lvl{level + 1}pPr", "defRPr"))]
+                layers = [font_of(child(props, "defRPr") if props is not None else None), font_of(child(text, "lstStyle", f"lvl{level + 1}pPr", "defRPr"))]
                 k = 0
                 for e in p:
                     if local(e.tag) not in ("r", "fld", "br"):
                         continue
                     words = "\n" if local(e.tag) == "br" else "".join(t.text or "" for t in _all(e, "t"))
-                    merged = [next((v for v in layer if v is not None), None) for layer in zip(_font(child(e, "rPr")), *layers, strict=True)]
+                    merged = [next((v for v in layer if v is not None), None) for layer in zip(font_of(child(e, "rPr")), *layers, strict=True)]
                     out.append((deck, part, n.shape_id, *key, i, k, level, words, *merged))
                     k += 1
         return out
@@ -233,7 +233,7 @@ def placeholders(parts: DataFrame) -> DataFrame:
 def level_styles(parts: DataFrame) -> DataFrame:
     """deck, part, seq (the placeholder's; -1 title and -2 body of a master's own styles), level, size to color."""
     def levels(e):
-        return [(lvl, _font(child(e, f"lvl{lvl + 1}pPr", "defRPr"))) for lvl in range(9) if child(e, f"lvl{lvl + 1}pPr") is not None] if e is not None else []
+        return [(lvl, font_of(child(e, f"lvl{lvl + 1}pPr", "defRPr"))) for lvl in range(9) if child(e, f"lvl{lvl + 1}pPr") is not None] if e is not None else []
 
     def run(deck, part, body):
         root, out = _root(body), []

@@ -23,8 +23,8 @@ SHAPES = (
 )
 
 
-def read_packages(spark, path: str) -> DataFrame:
-    """deck, body of each package file under path."""
+def read_packages(spark, path: str | list[str]) -> DataFrame:
+    """deck, body of each package file under a path, or of the files of a list."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("deck"), F.col("content").alias("body"))
 
 
@@ -226,9 +226,9 @@ def slide_digests(slides: DataFrame) -> DataFrame:
 
 
 def write_package(rows: list[tuple[str, bytes]]) -> bytes:
-    """A zip package with these parts, content types first."""
+    """A zip package with these parts, content types first; the same parts give the same bytes."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, body in sorted(rows, key=lambda r: (r[0] != "[Content_Types].xml", not r[0].startswith("_rels/"), r[0])):
-            z.writestr(name, body)
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), body, zipfile.ZIP_DEFLATED)
     return out.getvalue()

@@ -227,3 +227,25 @@ def test_colours_fills_and_lines():
     assert read('<a:custGeom/><a:ln><a:ext uri="{u}"><a:prstGeom prst="cloud"/></a:ext></a:ln>', styles.geometry_of) == {"kind": "sketch", "preset": "cloud", "adjustments": []}
     assert read("<a:custGeom/>", styles.geometry_of)["kind"] == "custom" and read("", styles.geometry_of) is None
     assert [e["kind"] for e in read('<a:softEdge/><a:glow rad="7"/>', styles.effects_of)] == ["glow", "softEdge"]
+
+
+def test_decks_drawn_anew(spark):
+    from lamina.sources import emit, styles
+
+    _, parts = deck_parts(spark)
+    new = emit.replaced(parts, emit.slide_parts_of(emit.draw_ops(parts)))
+    path = fresh_path(spark, "packages")
+    (written,) = emit.write_packages(new, path).collect()
+    assert written.bytes > 0 and [r.sha256 for r in emit.write_packages(new, path).collect()] == [written.sha256]
+    back = package.parts(package.read_packages(spark, path).withColumn("deck", F.lit("d")))
+    rows = lambda df, *drop: sorted(map(str, df.drop(*drop).collect()))
+    of = package.slide_parts
+    assert rows(package.shapes(of(back))) == rows(package.shapes(of(parts)))
+    for reader in (deck.runs, deck.table_cells, deck.connections, deck.pictures):
+        assert rows(reader(of(back))) == rows(reader(of(parts))), reader
+    assert rows(deck.notes(back)) == rows(deck.notes(parts)) and rows(deck.comments(back)) == rows(deck.comments(parts))
+    lost = {(r.shape_id, r.what) for r in emit.left_out(parts).collect()}
+    assert lost == {("60", "effects"), ("61", "fill"), ("62", "fill")} and emit.left_out(back).count() == 0
+    kept = F.col("fill.kind").isin("solid", "none")
+    look = lambda df: rows(styles.shape_styles(of(df)).where(kept).select("shape_id", "fill", "line.width", "line.color", "line.none", "geometry.preset"))
+    assert look(back) == look(parts)
