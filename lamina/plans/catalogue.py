@@ -748,6 +748,19 @@ def deck_redrawn(spark, d):
     return shapes.where(old.cast("int") <= 50).select("deck", _number("part").alias("slide_no"), "shape_id", F.concat(F.lit("n"), old).alias("name"), F.col("type").alias("op"), "text")
 
 
+@query(f"""WITH {DECKS} SELECT deck, n AS slide_no, shape_id, type, parent_id FROM s, (VALUES ('10', 'grpSp', NULL), ('20', 'grpSp', '10'), ('21', 'pic', '20'), ('50', 'pic', NULL), ('71', 'sp', NULL)) t(shape_id, type, parent_id) WHERE k % 2 = 1
+UNION ALL SELECT deck, n, shape_id, type, parent_id FROM s, (VALUES ('10', 'grpSp', NULL), ('11', 'sp', '10'), ('20', 'grpSp', '10'), ('21', 'pic', '20'), ('71', 'sp', NULL)) t(shape_id, type, parent_id) WHERE k % 2 = 0""")
+def deck_isolated(spark, d):
+    """Slides with selected shapes only, the groups around them and a background: two pictures, or a whole group."""
+    parts = supplier_parts(spark, d)
+    found = package.slide_parts(parts)
+    paths = package.shapes(found).join(found.select("deck", "part", "slide_no"), ["deck", "part"]).select("deck", "slide_no", "shape_id", "path", "name")
+    odd = paths.where("shape_id = '50'").select("deck", "slide_no", (F.col("name") == "Logo").alias("odd"))
+    wanted = odd.select("deck", "slide_no", F.explode(F.when(F.col("odd"), F.array(F.lit("21"), F.lit("50"), F.lit("404"))).otherwise(F.array(F.lit("10")))).alias("shape_id"))
+    new = emit.slide_parts_of(emit.isolated(emit.draw_ops(parts), paths, wanted, "FFFFFF", 9144000, 6858000))
+    return package.shapes(package.slide_parts(new)).select("deck", _number("part").alias("slide_no"), "shape_id", "type", "parent_id")
+
+
 @query(f"""WITH {DECKS}, g AS (SELECT count(*) FILTER (s_acctbal < 0) AS gone FROM supplier WHERE s_nationkey = 3),
 e AS (SELECT deck, n, cents < 0 AS edited FROM s WHERE deck <> 'n3' OR (SELECT gone FROM g) = 0
   UNION ALL SELECT 'n3', CAST(row_number() OVER (ORDER BY k) AS INTEGER), true FROM s WHERE deck = 'n3' AND cents >= 0 AND (SELECT gone FROM g) > 0)

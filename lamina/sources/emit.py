@@ -14,9 +14,10 @@ from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.functions.keys import braced, reply_id, thread_id, uuid5
 from lamina.sources.deck import FONT, font_of
 from lamina.sources.package import PARTS, Node, child, local, nodes, rows_of, slide_parts, write_package
 from lamina.sources.styles import color_of, effects_of, fill_of, geometry_of, line_of
@@ -250,3 +251,70 @@ def rename_ids(ops: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.select(
         "deck", "slide_no", "seq", "op", F.coalesce(F.col("m")[F.col("shape_id")], "shape_id").alias("shape_id"), F.coalesce(F.col("m")[F.col("parent_id")], "parent_id").alias("parent_id"), args.alias("args"))
 
+
+def isolated(ops: DataFrame, paths: DataFrame, selected: DataFrame, background: str, width: int, height: int) -> DataFrame:
+    """The operations of selected(deck, slide_no, shape_id) and of the groups they are in, on a plain background.
+
+    A selected group keeps all its shapes. paths(deck, slide_no, shape_id, path) gives the groups around each shape. Slides
+    without a selected shape go; an id that is not on its slide selects nothing.
+    """
+    key = ["deck", "slide_no"]
+    line = paths.select(*key, "shape_id", F.explode(F.concat("path", F.array("shape_id"))).alias("member"))
+    picked = selected.select(*key, F.col("shape_id").alias("member")).distinct()
+    inside = line.join(picked, [*key, "member"], "left_semi").select(*key, "shape_id")  # selected, or in a selected group
+    around = line.join(picked.withColumnRenamed("member", "shape_id"), [*key, "shape_id"], "left_semi").select(*key, F.col("member").alias("shape_id"))
+    kept = ops.join(inside.unionByName(around).distinct(), [*key, "shape_id"], "left_semi")
+    back = json.dumps({"name": "Background", "preset": "rect", "fill": {"kind": "solid", "color": {"base": background}}, "box": {"off": {"x": 0, "y": 0}, "ext": {"cx": width, "cy": height}}})
+    free = ops.groupBy(*key).agg((F.max(F.col("shape_id").cast("long")) + 1).cast("string").alias("shape_id"))
+    backs = free.join(kept.select(*key).distinct(), key, "left_semi").select(*key, F.lit(-1).alias("seq"), F.lit("add_shape").alias("op"), "shape_id", F.lit(None).cast("string").alias("parent_id"), F.lit(back).alias("args"))
+    return kept.select("deck", "slide_no", "seq", "op", "shape_id", "parent_id", "args").unionByName(backs)
+
+
+# --- comments -------------------------------------------------------------------------
+
+P188 = "http://schemas.microsoft.com/office/powerpoint/2018/8/main"
+
+
+def _said_xml(tag: str, own: str, author: str, created: str, text: str, done: bool, inner: str = "") -> str:
+    given = {"id": own, "authorId": author, "created": created} | ({"status": "resolved", "complete": "100000"} if done and tag == "cm" else {})
+    return f'<p188:{tag}{_attributes(given)}>{inner}<p188:txBody><a:bodyPr/><a:lstStyle/><a:p><a:r><a:t>{escape(text)}</a:t></a:r></a:p></p188:txBody></p188:{tag}>'
+
+
+def comment_parts_of(found: DataFrame, authors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(parts of the comments of each slide, the authors with new ones) from rows as comments() gives them and authors(deck, author_id, name).
+
+    Threads and replies get derived ids: of author, time and a number among threads that share both, and of the thread's
+    id for its replies. An author is known by its id, else by its name, else a row with a derived id is added. A slide's
+    threads are gathered in one task.
+    """
+    head = found.where("reply = 0").select("deck", "slide_no", "thread", F.col("author").alias("by"), F.col("created").alias("at"))
+    facts = found.select("deck", "slide_no", "thread", "reply", F.col("author").alias("name"), "author_id", "created", "text", "resolved")
+    derived = braced(uuid5(F.concat(F.lit("author|"), F.col("name"))))
+    by_name = authors.groupBy("deck", "name").agg(F.min("author_id").alias("known"))
+    rows = facts.join(by_name, ["deck", "name"], "left").withColumn("author_id", F.coalesce("author_id", "known", derived)).drop("known")
+    new = rows.select("deck", "author_id", "name").join(authors.select("deck", "author_id"), ["deck", "author_id"], "left_anti").groupBy("deck", "author_id").agg(F.min("name").alias("name"))
+    salts = head.withColumn("salt", F.row_number().over(Window.partitionBy("deck", "by", "at").orderBy("slide_no", "thread")) - 1)
+    threads = rows.where("reply = 0").join(salts, ["deck", "slide_no", "thread"]).select("deck", "slide_no", "thread", thread_id(F.col("author_id"), F.col("created"), F.col("salt")).alias("thread_key"))
+    rows = rows.join(threads, ["deck", "slide_no", "thread"])
+    rows = rows.withColumn("own", F.when(F.col("reply") == 0, F.col("thread_key")).otherwise(reply_id(F.col("thread_key"), F.col("author_id"), F.col("created"))))
+
+    def run(t: pa.Table) -> pa.Table:
+        cols = [t.column(c).to_pylist() for c in ("thread", "reply", "own", "author_id", "created", "text", "resolved")]
+        by_thread: dict[int, list[tuple]] = {}
+        for row in sorted(zip(*cols, strict=True), key=lambda r: r[:2]):
+            by_thread.setdefault(row[0], []).append(row)
+        said = []
+        for (_, _, own, author, created, text, done), *replies in by_thread.values():
+            inner = "".join(_said_xml("reply", *r[2:6], False) for r in replies)
+            said.append(_said_xml("cm", own, author, created, text, bool(done), f"<p188:replyLst>{inner}</p188:replyLst>" if inner else ""))
+        body = f'<p188:cmLst xmlns:a="{SPACES["a"]}" xmlns:p188="{P188}">{"".join(said)}</p188:cmLst>'.encode()
+        part = f"ppt/comments/modernComment_{t.column('slide_no')[0].as_py()}.xml"
+        return pa.table({"deck": pa.array([t.column("deck")[0].as_py()], pa.string()), "part": pa.array([part]), "body": pa.array([body], pa.binary())})
+
+    parts = rows.select("deck", "slide_no", "thread", "reply", "own", "author_id", "created", "text", "resolved").groupBy("deck", "slide_no").applyInArrow(run, PARTS)
+    return parts, authors.select("deck", "author_id", "name").unionByName(new.select("deck", "author_id", "name"))
+
+
+def base_deck(parts: DataFrame) -> DataFrame:
+    """The parts of decks without their slides and what belongs to slides only: the shell that new slides are put into."""
+    return parts.where(F.col("part").isNotNull() & ~F.col("part").rlike(r"^ppt/(slides|notesSlides|comments)/"))

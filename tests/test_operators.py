@@ -249,3 +249,22 @@ def test_decks_drawn_anew(spark):
     kept = F.col("fill.kind").isin("solid", "none")
     look = lambda df: rows(styles.shape_styles(of(df)).where(kept).select("shape_id", "fill", "line.width", "line.color", "line.none", "geometry.preset"))
     assert look(back) == look(parts)
+
+
+def test_comments_written_and_read(spark):
+    from lamina.sources import emit
+
+    _, parts = deck_parts(spark)
+    said = deck.comments(parts)
+    more = spark.createDataFrame([("d", 1, 7, 0, "New <one>", None, "t", "a & b", False), ("d", 1, 8, 0, "New <one>", None, "t", "same author and time", True)], said.schema)
+    new, people = emit.comment_parts_of(said.unionByName(more), deck.authors(parts))
+    assert {r.name for r in people.collect()} == {"Ann", "Ben", "Unknown", "New <one>"} and people.count() == 5
+    rels = spark.createDataFrame([("d", f"ppt/slides/_rels/slide{n}.xml.rels", decks.relations(("rId1", "comments", f"../comments/modernComment_{i}.xml"))) for i, n in ((1, 3), (2, 12))], package.PARTS)
+    listed = people.collect()
+    xml = "<q:authorLst xmlns:q='q'>" + "".join(f"<q:author id='{r.author_id}' name='{r.name.replace('<', '&lt;')}'/>" for r in listed) + "</q:authorLst>"
+    names = spark.createDataFrame([("d", "ppt/authors.xml", xml.encode())], package.PARTS)
+    back = deck.comments(emit.base_deck(parts).where("part <> 'ppt/authors.xml'").unionByName(package.slide_parts(parts).select("deck", "part", "body")).unionByName(new).unionByName(rels).unionByName(names))
+    line = lambda rows: sorted((r.slide_no, r.author, r.created, r.text, r.resolved, r.reply) for r in rows.collect())
+    assert line(back) == line(said.unionByName(more))
+    ids = [x for r in new.collect() for x in __import__("re").findall(r' id="(\{[^"]*\})"', r.body.decode())]
+    assert len(ids) == len(set(ids)) == 10
