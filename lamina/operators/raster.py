@@ -26,22 +26,25 @@ def difference_hash_of(values: Column, columns: int, rows: int) -> Column:
 def flood_from_border(background: np.ndarray) -> np.ndarray:
     """Background cells that the border reaches over edges of background cells; enclosed ones are not.
 
-    Each round takes the neighbours of the cells found last, all at once.
+    background is one picture, or a stack of pictures of one size. Each round takes the neighbours of the cells found last,
+    all at once.
     """
-    seen = np.zeros_like(background, bool)
-    for side in (np.s_[0], np.s_[-1], np.s_[:, 0], np.s_[:, -1]):
-        seen[side] = background[side]
-    y, x = np.nonzero(seen)
-    h, w = background.shape
-    while len(y):
-        v, u = np.concatenate([y - 1, y + 1, y, y]), np.concatenate([x, x, x - 1, x + 1])
-        inside = (v >= 0) & (v < h) & (u >= 0) & (u < w)
-        v, u = v[inside], u[inside]
-        new = background[v, u] & ~seen[v, u]
-        at = np.unique(v[new] * w + u[new])
-        y, x = at // w, at % w
-        seen[y, x] = True
-    return seen
+    h, w = background.shape[-2:]
+    # a frame of foreground around each picture, so that neighbours need no bounds
+    wide = np.zeros((background.size // max(1, h * w), h + 2, w + 2), bool)
+    wide[:, 1:-1, 1:-1] = background.reshape(-1, h, w)
+    inner = np.ones((h, w), bool)
+    inner[1:-1, 1:-1] = False
+    left = wide.ravel().copy()  # background cells that are not reached yet
+    wide[:, 1:-1, 1:-1] &= inner
+    at = np.flatnonzero(wide)
+    left[at] = False
+    while len(at):
+        near = np.concatenate([at - 1, at + 1, at - (w + 2), at + (w + 2)])
+        at = np.unique(near[left[near]])
+        left[at] = False
+    reached = ~left.reshape(wide.shape)[:, 1:-1, 1:-1] & background.reshape(-1, h, w)
+    return reached.reshape(background.shape)
 
 
 def corner_background(rgba: np.ndarray, tolerance: int) -> tuple[int, int, int]:

@@ -20,7 +20,6 @@ def flatten(nodes: DataFrame) -> DataFrame:
     One join a level, until a level is empty; each level is a written table, so no level is computed twice.
     A cycle never reaches a root and is left out, as are rows whose parent is missing.
     """
-    nodes = stored(nodes.select("id", "parent_id", "ord"), "tree-nodes")
     level = nodes.where("parent_id is null").select("id", F.lit(0).alias("depth"), F.array("id").alias("path"), F.array("ord").alias("sort_path"))
     levels = []
     while True:

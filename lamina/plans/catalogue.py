@@ -542,7 +542,8 @@ def flood_fill(spark, d):
 
     @F.pandas_udf("long")
     def reached(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: int(raster.flood_from_border(np.asarray(x, float).reshape(8, 8) < 0).sum()))
+        grids = np.stack(v.to_numpy()).reshape(-1, 8, 8) if len(v) else np.zeros((0, 8, 8))
+        return pd.Series(raster.flood_from_border(grids < 0).sum((1, 2)))
 
     return table(spark, d, "embeddings").select("vec_id", reached("embedding").alias("reached")).where("reached > 0")
 

@@ -81,6 +81,7 @@ def test_flood_against_repeated_spreading():
                 break
             seen = more
         assert (raster.flood_from_border(background) == seen).all()
+        assert (raster.flood_from_border(np.stack([background, ~background, background])) == np.stack([seen, raster.flood_from_border(~background), seen])).all()
 
 
 def test_background_and_trim():
