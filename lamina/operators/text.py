@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,16 +24,31 @@ def plain_title(title: Column) -> Column:
     return F.trim(unescaped(F.regexp_replace(F.regexp_replace(words, "<[^>]+>", ""), "[*_`~]", "")))
 
 
-def unescaped(text: Column) -> Column:
-    """The character references that Markdown writers use, decoded; & comes last."""
-    for name, value in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("nbsp", "\u00a0"), ("amp", "&")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(value))
+REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "apos": "'", "nbsp": "\u00a0", "amp": "&"}
+
+
+def unescaped(text: Column, names: Iterable[str] = tuple(REFERENCES)) -> Column:
+    """The character references that Markdown writers use, or those named, decoded in their order; & comes last."""
+    for name in names:
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(REFERENCES[name]))
     return text
 
 
+# Letters, numbers and marks of Unicode 14 and 15, which the regular expressions of Java 17 do not know (hexadecimal).
+LATER = (
+    "870-887 889-88e 898-89f 8b5 8c8-8d2 c3c c5d cdd cf3 ece 170d 1715 171f 180f 1ac1-1ace 1b4c 1dfa 2c2f 2c5f 9ffd-9fff a7c0-a7c1 "
+    "a7d0-a7d1 a7d3 a7d5-a7d9 a7f2-a7f4 10570-1057a 1057c-1058a 1058c-10592 10594-10595 10597-105a1 105a3-105b1 105b3-105b9 "
+    "105bb-105bc 10780-10785 10787-107b0 107b2-107ba 10efd-10eff 10f70-10f85 11070-11075 110c2 1123f-11241 11740-11746 11ab0-11abf "
+    "11f00-11f10 11f12-11f3a 11f3e-11f42 11f50-11f59 12f90-12ff0 1342f 13440-13455 16a70-16abe 16ac0-16ac9 1aff0-1aff3 1aff5-1affb "
+    "1affd-1affe 1b11f-1b122 1b132 1b155 1cf00-1cf2d 1cf30-1cf46 1d2c0-1d2d3 1df00-1df1e 1df25-1df2a 1e030-1e06d 1e08f 1e290-1e2ae "
+    "1e4d0-1e4f9 1e7e0-1e7e6 1e7e8-1e7eb 1e7ed-1e7ee 1e7f0-1e7fe 2a6de-2a6df 2b735-2b739 31350-323af"
+)
+SLUG_DROPS = r"[^\p{L}\p{N}\p{Mn}\p{Mc}\p{Pc} " + "".join("-".join(rf"\x{{{x}}}" for x in r.split("-")) for r in LATER.split()) + "-]"
+
+
 def slug(title: Column) -> Column:
     """Heading anchor: lower case, no punctuation, each run of blanks a hyphen."""
-    kept = F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}\p{Mn}\p{Mc}\p{Pc} -]", "")
+    kept = F.regexp_replace(F.lower(title), SLUG_DROPS, "")
     return F.regexp_replace(F.trim(kept), " +", "-")
 
 

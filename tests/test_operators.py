@@ -209,6 +209,22 @@ def test_catalogue_runs_and_matches_duckdb(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_heading_slugs_of_odd_titles_match_duckdb(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from lamina.plans.catalogue import ORACLE_SQL, QUERIES
+
+    slugs = {
+        "token &quot;7702&quot;": "token-quot7702quot", "A &lt;b&gt; &amp;lt;": "a-b-lt", "&#39;a&nbsp;b": "39anbspb", "[a](b) ![i](u)": "ab-iu", "**Ab** `c`": "ab-c",
+        "\u039f\u0394\u039f\u03a3": "\u03bf\u03b4\u03bf\u03c3", "\u0130x": "ix", "x\U00031350\u2c2f\ua7cb": "x\U00031350\u2c5f", "": "", " ! ": "-1"}
+    rows = [(i, "http://h/x", f"<h1>{t}</h1>") for i, t in enumerate(slugs)] + [(None, "http://n/x", "<h1>N</h1>"), (50, "http://n/x", "<h1>N</h1>"), (51, None, None), (52, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES["heading_slugs"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(con.execute(ORACLE_SQL["heading_slugs"]).fetchall(), key=str)
+    assert set(got) == {*enumerate(slugs.values()), (50, "n"), (None, "n-1"), (51, None), (52, None)}
+
+
 def test_colours_fills_and_lines():
     import xml.etree.ElementTree as ET
 
